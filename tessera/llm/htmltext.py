@@ -131,92 +131,96 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, int, str]]]:
     return elements, nodes
 
 
-def path_ratios(elements: list[Element], nodes: list[tuple[int, int, str]]) -> list[tuple[str, int, int, int, float]]:
-    """(path, nodes, text length, punctuation, fused ratio) of each tag path with text, in order of first use."""
-    paths: dict[int, str] = {0: ""}
-
-    def path(e: int) -> str:
-        if e not in paths:
-            paths[e] = f"{path(elements[e].parent)}/{elements[e].tag}" + ("!" if elements[e].other else "")
-        return paths[e]
-
-    table: dict[str, list[int]] = {}
+def _path_ids(elements: list[Element]) -> tuple[list[int], list[tuple[int, str]]]:
+    """Each element's path as a number, and the (number before, step) that a number stands for."""
+    known: dict[tuple[int, str], int] = {}
+    steps: list[tuple[int, str]] = []
+    ids: list[int] = []
+    for e in elements:
+        step = (ids[e.parent] if e.parent >= 0 else -1, e.tag + "!" * e.other)
+        if step not in known:
+            known[step] = len(steps)
+            steps.append(step)
+        ids.append(known[step])
+    return ids, steps
+
+
+def _ratios(elements: list[Element], nodes: list[tuple[int, int, str]], ids: list[int]) -> dict[int, tuple[int, int, int, float]]:
+    """path: (nodes, text length, punctuation, fused ratio), in order of first use."""
+    found: dict[int, list[int]] = {}
     for _, e, raw in nodes:
         if size := len(raw.strip()):
-            row = table.setdefault(path(e), [0, 0, 0])
+            row = found.setdefault(ids[e], [0, 0, 0])
             row[0] += 1
             row[1] += size
             row[2] += len(_punct.findall(raw))
-    if not table:
-        return []
-    counts = np.array(list(table.values()), float)
+    if not found:
+        return {}
+    counts = np.array(list(found.values()), float)
     ratios = counts[:, 1:] / counts[:, :1]
-    kernel = np.array([0.25, 1.0, 0.25])
-    norm = np.convolve(np.ones(len(ratios)), kernel, "same") if len(ratios) > 2 else None
-    smooth = np.stack([np.convolve(r, kernel, "same") / norm for r in ratios.T], 1) if norm is not None else ratios
-    fused = smooth[:, 0] * (1 + smooth[:, 1])
-    return [(p, *c, float(f)) for (p, c), f in zip(table.items(), fused)]
+    if len(ratios) > 2:
+        kernel = np.array([0.25, 1.0, 0.25])
+        norm = np.convolve(np.ones(len(ratios)), kernel, "same")
+        ratios = np.stack([np.convolve(r, kernel, "same") / norm for r in ratios.T], 1)
+    fused = ratios[:, 0] * (1 + ratios[:, 1])
+    return {p: (*c, float(f)) for (p, c), f in zip(found.items(), fused)}
+
+
+def path_ratios(elements: list[Element], nodes: list[tuple[int, int, str]]) -> list[tuple[str, int, int, int, float]]:
+    """(path, nodes, text length, punctuation, fused ratio) of each tag path with text, in order of first use; a step
+    ends in ! where it is marked as something other than the article."""
+    ids, steps = _path_ids(elements)
+    out = []
+    for p, row in _ratios(elements, nodes, ids).items():
+        names = []
+        while p >= 0:
+            names.append(steps[p][1])
+            p = steps[p][0]
+        out.append(("/".join(reversed(names)), *row))
+    return out
 
 
 def blocks(page: str | None) -> list[str]:
     """The blocks of the page's main text, in order."""
     elements, nodes = parse(page or "")
-    rows = path_ratios(elements, [x for x in nodes if not elements[x[1]].other])
+    nodes = [x for x in nodes if not elements[x[1]].other]
+    ids, _ = _path_ids(elements)
+    rows = _ratios(elements, nodes, ids)
     if not rows:
         return []
-    fused = np.array([r[4] for r in rows])
-    level = min(float(fused.mean() + LIFT * fused.std()), float(fused.max()))
-    # Long paths with little punctuation, and short ones of the same kind as the best, stay above a part of the best.
-    content = {r[0] for r in rows if r[4] >= max(level * 0.5, PART * float(fused.max()))}
-    names: dict[int, str] = {0: ""}
-    held: dict[int, int] = {}
-    total = 0
+    fused = np.array([r[3] for r in rows.values()])
+    best = float(fused.max())
+    level = max(PART * best, 0.5 * min(float(fused.mean() + LIFT * fused.std()), best))
+    content = {p for p, r in rows.items() if r[3] >= level}
+    held = [0] * len(elements)
     for _, e, raw in nodes:
-        if elements[e].other or not (size := len(raw.strip())):
-            continue
-        chain, x = [], e
-        while x >= 0 and x not in names:
-            chain.append(x)
-            x = elements[x].parent
-        for y in reversed(chain):
-            names[y] = f"{names[elements[y].parent]}/{elements[y].tag}"
-        if names[e] in content:
-            total += size
-            x = e
-            while x >= 0:
-                held[x] = held.get(x, 0) + size
-                x = elements[x].parent
-    most = [e for e, size in held.items() if size >= SHARE * total]
-    root = max(most, key=lambda e: elements[e].depth)
-    # An element marked up as the article or main part holds its heading and short blocks as well.
-    x, best = root, None
+        if ids[e] in content:
+            held[e] += len(raw.strip())
+    for e in range(len(elements) - 1, 0, -1):  # parents come first
+        held[elements[e].parent] += held[e]
+    root = max((e for e in range(len(elements)) if held[e] >= SHARE * held[0]), key=lambda e: elements[e].depth)
+    # An element marked up as the article, or else the main part, holds its heading and short blocks as well.
+    up, x = {}, root
     while x > 0:
-        if elements[x].tag in ("article", "main"):
-            best = x
-            if elements[x].tag == "article":
-                break
+        up.setdefault(elements[x].tag, x)
         x = elements[x].parent
-    if best is None:
+    if "article" in up or "main" in up:
+        root = up.get("article", up.get("main"))
+    else:
         while elements[root].tag in INLINE | {"p"}:
             root = elements[root].parent
-    else:
-        root = best
-    inside: dict[int, bool] = {root: True, -1: False}
-
-    def within(e: int) -> bool:
-        if e not in inside:
-            inside[e] = within(elements[e].parent)
-        return inside[e]
-
+    within = [False] * len(elements)
+    within[root] = True
+    for e in range(root + 1, len(elements)):
+        within[e] = within[elements[e].parent]
     out: list[str] = []
     last = -1
     for block, e, raw in nodes:
-        if elements[e].other or not within(e):
-            continue
-        if block != last:
-            out.append("")
-            last = block
-        out[-1] += raw
+        if within[e]:
+            if block != last:
+                out.append("")
+                last = block
+            out[-1] += raw
     return [t for t in (" ".join(b.split()) for b in out) if t]
 
 

@@ -27,7 +27,7 @@ def test_awkward_pages():
 
 def test_path_table():
     rows = path_ratios(*parse("<article><p>Hello, you.</p><p>Me.</p></article>"))
-    assert [(r[0], r[1], r[2], r[3]) for r in rows] == [("/article/p", 2, 14, 3)]
+    assert [r[:4] for r in rows] == [("/article/p", 2, 14, 3)]
 
 
 def test_operator(spark):
