@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, htmltext, linededup, matroska, mixing, simhash, suffix, topk, toxicity
+from tessera.llm import bpe, htmltext, linededup, matroska, mixing, simhash, suffix, topk, toxicity, windows
 from tessera.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -46,6 +46,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(table(spark, sf_dir, "documents"))
 
