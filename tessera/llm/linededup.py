@@ -120,7 +120,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     docs = docs.drop("n_lines", "n_dropped")
     lost = cut(doomed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars, min_docs), "gone")
     lost = lost.select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
-    joined = docs.join(lost, F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id")
+    # Both sides grow with the input: always a sort-merge join.
+    joined = docs.join(lost.hint("merge"), F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id")
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
