@@ -164,3 +164,125 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS, id_co
     least = member.groupBy("root").agg(F.min("doc").alias("component_id")).select(detached("root").alias("k"), "component_id")
     named = cut(member.withColumn("k", detached("root")).join(least, "k").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# --- near-duplicate documents by similarity
+
+SIMILARITY = 0.8
+FUNCTIONS = 4
+BINS = 512
+#: Words of fewer bytes say little about a text; they are used where it has fewer than MIN_WORDS others.
+LONG = 4
+MIN_WORDS = 8
+
+_ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 3) % (1 << 64) | 1) for j in range(FUNCTIONS + 1)]
+
+
+def word_prints(text: str | None, functions: int = FUNCTIONS) -> list[int]:
+    """SimHashes of the text's distinct words under several hash functions.
+
+    At a similarity of 0.8 over runs of five words, about one word in 45 differs, which moves a few bits."""
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    some = [w for w in words if len(w) >= LONG]
+    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in (some if len(some) >= MIN_WORDS else words)], np.uint64)
+    if not len(h):
+        return [0] * functions
+    out = []
+    for j in range(functions):
+        g = (h ^ _ODD[j]) * _ODD[j + 1]
+        g ^= g >> np.uint64(29)
+        g *= _ODD[0]
+        g ^= g >> np.uint64(32)
+        ones = np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(g), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def sketch(text: str | None, width: int = 5) -> bytes:
+    """A byte for each bin of the shingle hashes: 0 if it is empty, else a digest of the bin's least hash."""
+    h = np.unique(shingle_hashes(text, width))
+    out = np.zeros(BINS, np.uint8)
+    bins, rest = (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(9)
+    order = np.lexsort((rest, bins))
+    first = order[np.r_[True, np.diff(bins[order]) != 0]] if len(h) else order
+    out[bins[first]] = 1 + (rest[first] % np.uint64(255)).astype(np.uint8)
+    return out.tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Estimated Jaccard similarity of two texts' shingles: the share of equal bins among those in use; 1 if none is."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    used = int(np.count_nonzero(x | y))
+    return int(np.count_nonzero((x == y) & (x != 0))) / used if used else 1.0
+
+
+def _node_links(nodes: DataFrame, fp: str, n: int) -> DataFrame:
+    """(a, b): links between nodes whose fingerprints are within the radius, a forest in each bucket."""
+    first = nodes.groupBy(fp).agg(F.min("node").alias("node"))
+    same = nodes.withColumn("k", detached(fp)).join(first.select(detached(fp).alias("k"), F.col("node").alias("a")), "k").where("node <> a").select("a", F.col("node").alias("b"))
+    prefix = min(24, max(12, math.ceil(math.log2(max(n, 2))) - 8))
+    masks = _masks(prefix, RADIUS // 2).astype(np.int64).tolist()
+    dealt = first.select(F.col(fp).alias("fp"), "node", F.explode(F.array(*map(F.lit, masks))).alias("m"))
+    dealt = dealt.select("fp", "node", F.shiftrightunsigned("fp", 64 - prefix).bitwiseXOR(F.col("m").cast("long")).alias("bucket"))
+
+    def run(key, t):
+        ids, fps = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+        order = np.argsort(ids)
+        at = {int(f): int(i) for f, i in zip(fps, ids)}
+        a, b = bucket_links(fps[order], key[0].as_py(), prefix)
+        return pa.table({"a": pa.array([at[int(x)] for x in a], pa.int64()), "b": pa.array([at[int(x)] for x in b], pa.int64())})
+
+    return same.union(dealt.groupBy("bucket").applyInArrow(run, "a long, b long"))
+
+
+def duplicates(docs: DataFrame, threshold: float = SIMILARITY, width: int = 5, functions: int = FUNCTIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, root): the documents that are not the smallest doc_id of their group, with that.
+
+    Documents are grouped by equal texts, and by links between documents whose word SimHash is within RADIUS bits under
+    some hash function and whose shingles have a similarity of threshold or more, estimated by BINS bins.  Null and
+    empty texts count as equal.  Rows without an id are left out; other columns are ignored."""
+    prints = ", ".join(f"fp{j} long" for j in range(functions))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t.as_py() or "" for t in batch.column("text")]
+        th = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
+        fps = list(zip(*(word_prints(t, functions) for t in texts)))
+        return pa.record_batch([batch.column("doc_id"), pa.array(th), *(pa.array(f, pa.int64()) for f in fps), pa.array([sketch(t, width) for t in texts], pa.binary())], names=["doc_id", "th", *(f"fp{j}" for j in range(functions)), "sketch"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = cut(map_batches(rows, run, f"doc_id long, th long, {prints}, sketch binary"), "prints")
+    # One node for each text; a text that is a hot copy is reduced before it is shuffled.
+    first = cut(rows.groupBy("th").agg(F.min("doc_id").alias("node")), "texts")
+    copies = rows.select("doc_id", "th", detached("th").alias("k")).join(first.select(detached("th").alias("k"), "node"), "k").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    nodes = rows.join(first.select(F.col("node").alias("doc_id"), F.col("th").alias("t")), ["doc_id"], "inner").where("th = t").drop("t").withColumnRenamed("doc_id", "node")
+    nodes = cut(nodes.dropDuplicates(["node"]), "nodes")
+    n = nodes.count()
+    found = None
+    for j in range(functions):
+        part = _node_links(nodes.select("node", f"fp{j}"), f"fp{j}", n)
+        found = part if found is None else found.union(part)
+    found = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    known = nodes.select(detached("node").alias("k"), "sketch")
+    both = found.withColumn("k", detached("a")).join(known.withColumnRenamed("sketch", "x"), "k").drop("k")
+    both = both.withColumn("k", detached("b")).join(known.withColumnRenamed("sketch", "y"), "k").drop("k")
+
+    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = [similarity(x, y) >= threshold for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+        return pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    verified = map_batches(both.select("a", "b", "x", "y"), check, "a long, b long")
+    groups = connected_components(verified.union(copies), "a", "b")
+    return groups.where("node <> root").select(F.col("node").alias("doc_id"), "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs without the documents that duplicates() names; of rows that repeat an id one stays.
+
+    Rows without an id stay.  All columns pass through."""
+    gone = cut(duplicates(docs, id_col=id_col, **options), "gone").select(F.col("doc_id").alias("_gone"))
+    left = docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
+    if not again:
+        return left
+    named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return named.unionByName(left.where(F.col(id_col).isNull()))

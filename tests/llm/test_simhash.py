@@ -1,6 +1,6 @@
 import numpy as np
 
-from tessera.llm.simhash import bucket_links, fingerprint, near_duplicates
+from tessera.llm.simhash import bucket_links, fingerprint, keep_one, near_duplicates, similarity, sketch
 
 from .data import BASE, DOCS, frame, sentence
 
@@ -56,3 +56,39 @@ def test_all_links_within_radius_are_found():
         for i in range(len(fps)):
             for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4):
                 assert find(i) == find(int(j))
+
+
+def jaccard(a, b, width=5):
+    runs = lambda t: {tuple(w[i : i + width]) for w in [t.lower().split()] for i in range(max(1, len(w) - width + 1))}
+    x, y = runs(a), runs(b)
+    return len(x & y) / len(x | y)
+
+
+def test_sketch_estimates_similarity():
+    for n in (0, 1, 3, 6):
+        w = sentence(7, 400).split()
+        for i in range(n):
+            w[30 + 50 * i] = "changed"
+        a, b = sentence(7, 400), " ".join(w)
+        assert abs(similarity(sketch(a), sketch(b)) - jaccard(a, b)) < 0.07
+    assert similarity(sketch(""), sketch(None)) == 1.0
+
+
+def test_keep_one_of_near_copies(spark):
+    rows = [*DOCS]
+    for g in range(8):
+        base = sentence(100 + g, 150 + 40 * g).split()
+        for k in range(6):
+            w = list(base)
+            w[17 + k] = "edited"
+            rows.append((1000 + 10 * g + k, " ".join(w), "g"))
+    rows += [(2000 + i, sentence(500 + i, 60), "alone") for i in range(40)]
+    kept = keep_one(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    ids = sorted((str(r.doc_id), r.text) for r in kept.collect())
+    want = {str(i) for i in [1, 4, 7, 8, 9, 10, None, 11, 12, *range(1000, 1080, 10), *range(2000, 2040)]}
+    got = [i for i, _ in ids]
+    assert len(got) == len(set(got))
+    # "\t\n " has no words either but differs from the empty text: its sketch is the same, so it goes with doc 4.
+    assert set(got) == want
+    assert keep_one(frame(spark, [])).collect() == []
