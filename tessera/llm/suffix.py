@@ -19,6 +19,7 @@ dealt out by hash.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +37,11 @@ SPAN = LENGTH - GRAM + 1
 SIDE = (LENGTH - GRAM) // 2
 CORE = GRAM + SIDE
 #: Anchors with one core that a bucket sorts; cores with more go by the hash of each window.
-HOT = 1000
+HOT = 20_000
 #: Bits of the broadcast filter of such cores (16 MB); no more than an eighth of it is ever set.
 FILTER_BITS = 1 << 27
 CHUNK = 1 << 20
+MATRIX = 1 << 19  # cells of a table of a group's classes
 
 _ODD = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
@@ -329,10 +331,6 @@ def merge_runs(runs: list[Iterator[tuple[int, Item]]]) -> Iterator[tuple[int, It
             node //= 2
 
 
-def _classes(shared: np.ndarray, depth: int) -> np.ndarray:
-    return np.cumsum(shared < depth)
-
-
 def covered(group: list[Item], shared: list[int]) -> Iterator[tuple[Item, int, int]]:
     """(item, start, end): bytes in windows that occur at another item of the group, all of which share a core.
 
@@ -344,7 +342,7 @@ def covered(group: list[Item], shared: list[int]) -> Iterator[tuple[Item, int, i
     def bytes_of(x: Item, least: int, most: int) -> tuple[Item, int, int]:
         return (x, x.at - LENGTH + least, x.at + most) if x.left else (x, x.at - most, x.at + LENGTH - least)
 
-    if n <= 4:
+    if n <= 3:
         for i in range(n):
             for j in range(i + 1, n):
                 s, c = min(shared[i + 1 : j + 1]), common(group[i].c, group[j].c)
@@ -359,27 +357,60 @@ def covered(group: list[Item], shared: list[int]) -> Iterator[tuple[Item, int, i
     cs = np.array([-1, *(common(group[i].c, group[j].c) for i, j in zip(order, order[1:]))])
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
-    turns = np.unique(np.concatenate([[0, SIDE + 1], cs[1:] + 1, LENGTH - ss[1:]]))
-    turns = turns[(turns >= 0) & (turns <= SIDE + 1)].tolist()
-    open_at = np.full(n, -1)
+    turns = np.unique(np.concatenate([[0], cs[1:] + 1, LENGTH - ss[1:]]))
+    turns = turns[(turns >= 0) & (turns <= SIDE)]
     loose = np.array([not x.settled for x in group])
-    for lo, hi in zip(turns, [*turns[1:], None]):
-        if hi is None:
-            hit = np.zeros(n, bool)
-        else:
-            both = _classes(ss, LENGTH - lo) * (n + 1) + _classes(cs, lo)[back]
-            _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
-            hit = (counts[inverse] > 1) & loose
-        for i in np.flatnonzero((open_at >= 0) & ~hit).tolist():
-            yield bytes_of(group[i], int(open_at[i]), lo - 1)
-        open_at[~hit] = -1
-        open_at[hit & (open_at < 0)] = lo
+    hits = np.zeros((len(turns) + 2, n), bool)  # by turn, with an empty one at either end
+    step = max(1, MATRIX // n)
+    for k in range(0, len(turns), step):
+        lo = turns[k : k + step, None]
+        both = np.cumsum(ss[None, :] < LENGTH - lo, axis=1) * (n + 1) + np.cumsum(cs[None, :] < lo, axis=1)[:, back]
+        by = np.argsort(both, axis=1, kind="stable")
+        line = np.take_along_axis(both, by, axis=1)
+        same = line[:, 1:] == line[:, :-1]
+        twice = np.zeros(line.shape, bool)
+        twice[:, 1:] |= same
+        twice[:, :-1] |= same
+        np.put_along_axis(hits[k + 1 : k + 1 + len(lo)], by, twice, axis=1)
+    hits &= loose
+    first = np.argwhere((hits[1:] & ~hits[:-1]).T).tolist()
+    last = np.argwhere((~hits[1:] & hits[:-1]).T).tolist()
+    ends = [*turns.tolist(), SIDE + 1]
+    for (i, a), (_, b) in zip(first, last):
+        yield bytes_of(group[i], ends[a], ends[b] - 1)
 
 
 FOUND = "id long, th long, ranges binary"
 SENT = "bucket int, kind int, id long, th long, blob binary"
 
 
+def _send_windows(h: np.ndarray, wh: np.ndarray, place: np.ndarray, buckets: int, ids: list, ths: list) -> Iterator[tuple]:
+    """Rows for a batch's windows.  Where the batch has a window twice, all its places are found; one goes on."""
+    order = np.lexsort((place, wh, h))
+    h, wh, place = h[order], wh[order], place[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (wh[1:] != wh[:-1])]
+    # One window may come from several anchors with the same core.
+    once = new | np.r_[True, place[1:] != place[:-1]]
+    h, wh, place, new = h[once], wh[once], place[once], new[once]
+    row, at = (place >> np.uint64(40)).astype(np.int64), (place & np.uint64((1 << 40) - 1)).astype(np.int64)
+    n = np.diff(np.r_[np.flatnonzero(new), len(h)])
+    many = np.flatnonzero(np.repeat(n > 1, n))
+    many = many[np.argsort(row[many], kind="stable")]
+    cuts = np.flatnonzero(np.r_[True, np.diff(row[many]) != 0]).tolist() if len(many) else []
+    for i, j in zip(cuts, [*cuts[1:], len(many)]):
+        r = int(row[many[i]])
+        ranges = np.array(union(np.stack([at[many[i:j]], at[many[i:j]] + LENGTH], 1)), "<i8")
+        yield r % buckets, 1, ids[r], ths[r], ranges.tobytes()
+    all_ids, all_ths = np.array(ids, np.int64), np.array(ths, np.int64)
+    h, wh, row, at = h[new], wh[new], row[new], at[new]
+    bucket = (wh % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    h, wh, row, at, bucket = h[order], wh[order], row[order], at[order], bucket[order]
+    cuts = np.flatnonzero(np.r_[True, np.diff(bucket) != 0]).tolist()
+    for i, j in zip(cuts, [*cuts[1:], len(h)]):
+        yield int(bucket[i]), 2, None, None, _pack(h[i:j], wh[i:j], all_ids[row[i:j]], all_ths[row[i:j]], at[i:j])
+
+
 def _send(buckets: int, hot):
     """Map: runs of the anchors that are left, windows of hot cores, and the bytes around settled anchors."""
 
@@ -390,7 +421,7 @@ def _send(buckets: int, hot):
         lists = [[b"".join(x or ()) for x in batch.column(c).to_pylist()] for c in ("seen", "own")]
         out: list[tuple] = []
         runs: dict[int, list[Item]] = {}
-        windows: dict[int, list[tuple]] = {}
+        windows = (array("Q"), array("Q"), array("Q"))  # core, window, row and place
         done: dict[int, list[int]] = {}
         row_now, seen, own = -1, frozenset(), frozenset()
         for row, buf, a, b, p in _spots(batch):
@@ -418,8 +449,9 @@ def _send(buckets: int, hot):
                     for c in range(0, SIDE + 1) if not left else range(SIDE + 1, LENGTH - GRAM + 1):
                         s = p - c
                         if s >= a and s + LENGTH <= b:
-                            wh = _h64(buf[s : s + LENGTH], 4)
-                            windows.setdefault(wh % buckets, []).append((h, wh, row, s - a))
+                            windows[0].append(h)
+                            windows[1].append(_h64(buf[s : s + LENGTH], 4))
+                            windows[2].append(row << 40 | s - a)
                     continue
                 if left:
                     s, c, at = buf[max(a, p + GRAM - LENGTH) : p + GRAM][::-1], buf[p + GRAM : min(b, p + GRAM + SIDE)], p + GRAM - a
@@ -430,17 +462,8 @@ def _send(buckets: int, hot):
             out.append((row % buckets, 1, ids[row], ths[row], np.array(ranges, "<i8").tobytes()))
         for bucket, items in runs.items():
             out.append((bucket, 0, None, None, write_run(items)))
-        for bucket, rows in windows.items():
-            # Of a window that the batch has twice all places are found; one goes on.
-            # One window may come from several anchors with the same core.
-            rows = sorted(set(rows))
-            h, wh, row, at = (np.array(x, k) for x, k in zip(zip(*rows), (np.uint64, np.uint64, np.int64, np.int64)))
-            first = np.r_[True, (h[1:] != h[:-1]) | (wh[1:] != wh[:-1])]
-            n = np.diff(np.r_[np.flatnonzero(first), len(h)])
-            for i in np.flatnonzero(np.repeat(n > 1, n)).tolist():
-                out.append((bucket, 1, ids[row[i]], ths[row[i]], np.array([at[i], at[i] + LENGTH], "<i8").tobytes()))
-            all_ids, all_ths = np.array(ids, np.int64), np.array(ths, np.int64)
-            out.append((bucket, 2, None, None, _pack(h[first], wh[first], all_ids[row[first]], all_ths[row[first]], at[first])))
+        if windows[0]:
+            out += _send_windows(*(np.frombuffer(x, np.uint64) for x in windows), buckets, ids, ths)
         cols = list(zip(*out)) if out else [[]] * 5
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["bucket", "kind", "id", "th", "blob"])

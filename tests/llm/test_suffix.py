@@ -42,7 +42,7 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
+@pytest.mark.parametrize("hot", [20_000, 3])
 def test_matches_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT", hot)
     texts = [t for _, t, _ in DOCS] + corpus()
