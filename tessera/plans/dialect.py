@@ -55,6 +55,10 @@ class Spark:
     def join(self, a, sep):
         return f"array_join({a}, '{sep}')"
 
+    def text(self, a, expr="z"):
+        """A list as text, its elements (z) by an expression; the form in which results hold lists."""
+        return self.join(self.map(a, "z", f"cast({expr} as string)"), ",")
+
     def sha256(self, s):
         return f"sha2({s}, 256)"
 

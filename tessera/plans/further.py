@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.registry import both, query
 
-both("y2_additive_merge", lambda e: f"""select a.id, {e.union(e.filter(e.array('a.party'), 'x', 'x is not null'), e.filter(e.array("case when b.score > 0 then 'rich' end"), 'x', 'x is not null'))} as parties, coalesce(b.name, a.name) as name, b.score > 0 or a.party is null as changed
+both("y2_additive_merge", lambda e: f"""select a.id, {e.text(e.union(e.filter(e.array('a.party'), 'x', 'x is not null'), e.filter(e.array("case when b.score > 0 then 'rich' end"), 'x', 'x is not null')))} as parties, coalesce(b.name, a.name) as name, b.score > 0 or a.party is null as changed
     from nodes a join nodes b on a.id = b.id where a.kind = 'person'""")
 both("y3_precedence_merge", lambda e: "select company, case when company % 5 = 0 then is_public else activity = '84.11' end as is_public, case when company % 5 = 0 then 'manual' else 'scraped' end as origin from companies")
 both("y4_region_by_code", lambda e: "select c.company, coalesce(a.id, b.id) as region from companies c left join region_nodes a on a.id = substring(c.code4 || lpad(cast(c.company as string), 3, '0'), 1, 4) left join region_nodes b on b.id = c.code2")
@@ -18,19 +18,19 @@ both("y6_facts_on_articles", lambda e: f"select f.event_id, a.article from (sele
 both("y7_rule_table", lambda e: "select cand from candidates c where exists (select 1 from (select 'local' as kind, cast(null as int) as y union all select 'national', 1999) r where r.kind = c.election_type and (r.y is null or r.y = c.election_year))")
 both("y8_pending_page", lambda e: "select p.rev, p.total, n.name from (select rev, node, event_type, count(*) over () as total, row_number() over (order by rev) as rn from revisions where not approved) p left join nodes n on n.id = 'p' || cast(p.node as string) where rn between 21 and 60 and event_type <> 'view'")
 both("y9_region_people_split", lambda e: "select p.code2, case when x.person is null then 'never' when x.open then 'current' else 'past' end as state, case when c_mktsegment in ('BUILDING', 'MACHINERY') then c_mktsegment else 'other' end as party, count(*) as n from customer join place_codes p on c_nationkey = p.place left join (select person, bool_or(end_date is null) as open from posts group by person) x on x.person = c_custkey group by 1, 2, 3")
-both("y10_person_row", lambda e: f"select r.id, {e.sorted('array_agg(distinct ' + e.struct(year='c.election_year', code='c.code4') + ')')} as elections from register_people r join candidates c on c.person = r.id group by r.id")
-both("y11_location_merge", lambda e: f"select coalesce(code, name) as place, {e.set('kind')} as kinds, count(*) as n from (select code4 as code, lower(place_name) as name, 'home' as kind from place_codes union all select case when company % 2 = 0 then code4 end, lower(city), 'work' from companies) x group by coalesce(code, name)")
+both("y10_person_row", lambda e: f"select r.id, {e.text(e.sorted('array_agg(distinct ' + e.struct(year='c.election_year', code='c.code4') + ')'), "cast(z.year as string) || ':' || z.code")} as elections from register_people r join candidates c on c.person = r.id group by r.id")
+both("y11_location_merge", lambda e: f"select coalesce(code, name) as place, {e.text(e.set('kind'))} as kinds, count(*) as n from (select code4 as code, lower(place_name) as name, 'home' as kind from place_codes union all select case when company % 2 = 0 then code4 end, lower(city), 'work' from companies) x group by coalesce(code, name)")
 both("y12_published_invariant", lambda e: "select count(*) filter (where x.published and not (a.published and not a.deleted and b.published and not b.deleted)) as broken, count(*) filter (where not x.published and a.published and not a.deleted and b.published and not b.deleted) as ready from edges x left join nodes a on x.source = a.id left join nodes b on x.target = b.id")
 both("y13_calendar_gap", lambda e: f"select x as day from (select min(day) as lo, max(day) as hi from updates) r {e.unnest(e.days_seq('lo', 'hi'))} where x not in (select day from updates where krs < 10)")
 both("y14_change_report", lambda e: f"""select method, count(*) as n, round(avg(d), 4) as mean_days, cast(median(d) as double) as median_days, min(d) as least, max(d) as most, count(*) filter (where d > 3) as late from
     (select s.krs, s.method, {e.days('s.day', 's.next_day')} as d from (select krs, method, day, lead(day) over (partition by krs order by day) as next_day from scrapes) s where s.next_day is not null) x group by method""")
 both("y15_success_by_delay", lambda e: f"select d, count(*) as n, count(*) filter (where hit) as ok, round(cast(count(*) filter (where hit) as double) / count(*), 6) as rate from (select {e.days('u.day', 's.day')} as d, s.n_people % 2 = 0 as hit from updates u join snapshots s on u.krs = s.krs and s.day >= u.day) x where d <= 10 group by d")
 both("y16_two_pass_links", lambda e: f"""with titles as (select distinct full_name from wiki_people where birth_year > 1980), links as (select id, 'First' || cast(id % 37 as string) || ' Last' || cast(x as string) as link from wiki_people {e.unnest(e.array('id % 211', '(id + 7) % 211', '(id + 13) % 211'))})
-    select id, {e.set('link')} as people from links where link in (select full_name from titles) group by id""")
+    select id, {e.text(e.set('link'))} as people from links where link in (select full_name from titles) group by id""")
 both("y17_overlap_metrics", lambda e: f"select person, {e.size(e.intersect('a', 'b'))} as both_n, round(cast({e.size(e.intersect('a', 'b'))} as double) / {e.size(e.union('a', 'b'))}, 9) as iou from (select person, {e.set('company')} as a from posts where company % 3 <> 0 group by person) x join (select person, {e.set('company')} as b from posts where company % 2 = 0 group by person) y using (person)")
 both("y18_tag_runs", lambda e: "select user_id, event_type as tag, min(event_id) as first, count(*) as n, round(avg(value), 4) as score from (select *, row_number() over (partition by user_id order by event_id) - row_number() over (partition by user_id, event_type order by event_id) as run from events) x group by user_id, event_type, run")
-both("y19_registry_upsert", lambda e: f"select krs, {e.set('source')} as sources, {e.set('code')} as codes, max(name) as name from (select krs, 'a' as source, code2 as code, company_name as name from companies where company % 2 = 0 union all select krs, 'b', code4, null from companies where company % 3 = 0) x group by krs")
-both("y20_first_non_empty", lambda e: f"select krs, min_by(name, rank) as name, {e.set('parent')} as parents from (select c.krs, 1 as rank, nullif(case when c.company % 2 = 0 then '' else c.company_name end, '') as name, o.parent from companies c left join owners o on o.child = c.company union all select krs, 2, company_name || ' (register)', null from companies) x where name is not null group by krs")
+both("y19_registry_upsert", lambda e: f"select krs, {e.text(e.set('source'))} as sources, {e.text(e.set('code'))} as codes, max(name) as name from (select krs, 'a' as source, code2 as code, company_name as name from companies where company % 2 = 0 union all select krs, 'b', code4, null from companies where company % 3 = 0) x group by krs")
+both("y20_first_non_empty", lambda e: f"select krs, min_by(name, rank) as name, {e.text(e.set('parent'))} as parents from (select c.krs, 1 as rank, nullif(case when c.company % 2 = 0 then '' else c.company_name end, '') as name, o.parent from companies c left join owners o on o.child = c.company union all select krs, 2, company_name || ' (register)', null from companies) x where name is not null group by krs")
 both("y21_null_drop", lambda e: f"select id, {e.size(e.filter(e.array('first_name', 'second_name', 'last_name', 'birth_date'), 'x', 'x is not null'))} as kept from register_people")
 both("y22_window_top", lambda e: "select user_id, count(*) as n from events where ts >= timestamp '2024-01-20 00:00:00' group by user_id order by n desc, user_id limit 10")
 both("y24_truncated_answers", lambda e: "select event_id, case when value > 200 then 'error' else 'ok' end as status, value <= 200 as cacheable from events")

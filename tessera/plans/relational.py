@@ -36,7 +36,7 @@ both("p15_visibility_gate", lambda e: "select id, kind from nodes where coalesce
 both("p16_hide_voted_three_way", lambda e: """select n.id, case when v.node is null then 'unvoted' when v.mine then 'mine' else 'others' end as voted
     from nodes n left join (select 'p' || cast(node as string) as node, bool_or(voter = 7) as mine from votes group by node) v on n.id = v.node where n.kind = 'person'""")
 both("p17_notes_filter", lambda e: f"select note from notes where kind in ('click', 'view') and status is null and not deferred and ({e.contains('cast(node as string)', chr(39) + '1' + chr(39))} or {e.contains('kind', chr(39) + 'ck' + chr(39))})")
-both("p18_extractions_by_article", lambda e: f"select node as article, {e.list('note')} as notes, count(*) as n from notes where kind = 'view' and coalesce(status, '') <> 'done' group by node")
+both("p18_extractions_by_article", lambda e: f"select node as article, {e.text(e.list('note'))} as notes, count(*) as n from notes where kind = 'view' and coalesce(status, '') <> 'done' group by node")
 both("p19_output_reshape", lambda e: f"select cast(person as string) as person_id, krs, cast(start_date as string) as employed_start, coalesce(cast(end_date as string), '') as employed_end from posts p join companies c on p.company = c.company")
 both("p20_nested_trim", lambda e: f"select event_id, s.a.b as b, s.c as c from (select event_id, {e.struct(a=e.struct(b='event_type', d='value'), c='user_id')} as s from events) x")
 both("p21_projection_pushdown", lambda e: "select l_orderkey, l_quantity from lineitem where l_shipdate >= timestamp '2001-01-01 00:00:00' and l_quantity > 45")
@@ -90,7 +90,7 @@ both("j29_edge_endpoints", lambda e: """select x.id, s.name as source_name, t.na
 both("j30_edges_either_endpoint", lambda e: "select distinct x.id from edges x where x.source in ('p10', 'p20', 'r3') or x.target in ('c1', 'c2', 'c3')")
 both("j31_topic_neighbours", lambda e: """with mentioned as (select distinct 'p' || cast(node as string) as id from notes where kind = 'signup'), near as (select distinct x.target as id from edges x join mentioned m on x.source = m.id)
     select n.id, n.name from nodes n where n.id in (select id from near) or n.id in (select id from mentioned)""")
-both("j32_topic_links", lambda e: f"select article, {e.set('kind')} as topics from (select a.article, n.kind from articles a join notes n on n.node = a.article where not n.deferred) x group by article")
+both("j32_topic_links", lambda e: f"select article, {e.text(e.set('kind'))} as topics from (select a.article, n.kind from articles a join notes n on n.node = a.article where not n.deferred) x group by article")
 both("j33_most_specific_region", lambda e: """select company, id from (select c.company, r.id, row_number() over (partition by c.company order by length(r.id) desc, r.id) as rn from companies c
     join region_nodes r on c.code4 || lpad(cast(c.company as string), 3, '0') = r.id or c.code4 = r.id or c.code2 = r.id) x where rn = 1""")
 both("j34_places_in_regions", lambda e: """select distinct target as place from edges where kind = 'owns' and source in ('r1', 'r2', 'r7') and target not in (select id from nodes where kind = 'region')""")
@@ -99,15 +99,15 @@ both("j36_revision_describe", lambda e: """select r.rev, n.name as target, c.c_n
     left join customer c on c.c_custkey = r.user_id left join (select node, max_by(value, rev) as value from revisions where approved group by node) prev on prev.node = r.node""")
 both("j37_latest_name_fallback", lambda e: """select r.node, coalesce(n.name, r.latest) as name from (select node, max_by(event_type, rev) as latest from revisions group by node) r left join (select * from nodes where published) n on n.id = 'p' || cast(r.node as string)""")
 both("j38_orphans", lambda e: "select x.id from edges x left join nodes n on x.target = n.id and not n.deleted and n.published where n.id is null")
-both("j39_contract_parties", lambda e: f"""select c.contract, c.amount, p.parties, p.parties is null as stub from contracts c left join (select contract, {e.sorted("array_agg(" + e.struct(seq='seq', nip='nip') + ")")} as parties from parties group by contract) p on c.contract = p.contract""")
+both("j39_contract_parties", lambda e: f"""select c.contract, c.amount, p.parties, p.parties is null as stub from contracts c left join (select contract, {e.text(e.sorted("array_agg(" + e.struct(seq='seq', nip='nip') + ")"), "cast(z.seq as string) || ':' || z.nip")} as parties from parties group by contract) p on c.contract = p.contract""")
 both("j40_register_overlap", lambda e: """select 'both' as side, count(distinct p.nip) as n from parties p join (select nip from companies where company % 2 = 0) c on p.nip = c.nip
     union all select 'only_contracts', count(distinct nip) from parties where nip not in (select nip from companies where company % 2 = 0)""")
 both("j41_two_name_paths", lambda e: "select id from register_people where last_name in (select last_name from candidates where code2 = '01') union select id from register_people where first_name in (select first_name from candidates where code2 = '02' and votes > 490000)")
 
 # --- aggregations
 
-both("a1_nested_aggregate", lambda e: f"""select person, {e.sorted("array_agg(" + e.struct(year='election_year', code='code4', cand='cand') + ")")} as elections, {e.set('committee')} as committees, max(first_name) as first_name from candidates group by person""")
-both("a2_merge_lists", lambda e: f"""select coalesce(a.person, b.person) as person, {e.union(f"coalesce(a.xs, {e.filter(e.array('cast(0 as bigint)'), 'z', 'z > 0')})", f"coalesce(b.xs, {e.filter(e.array('cast(0 as bigint)'), 'z', 'z > 0')})")} as xs
+both("a1_nested_aggregate", lambda e: f"""select person, {e.text(e.sorted("array_agg(" + e.struct(year='election_year', code='code4', cand='cand') + ")"), "cast(z.year as string) || ':' || z.code || ':' || cast(z.cand as string)")} as elections, {e.text(e.set('committee'))} as committees, max(first_name) as first_name from candidates group by person""")
+both("a2_merge_lists", lambda e: f"""select coalesce(a.person, b.person) as person, {e.text(e.union(f"coalesce(a.xs, {e.filter(e.array('cast(0 as bigint)'), 'z', 'z > 0')})", f"coalesce(b.xs, {e.filter(e.array('cast(0 as bigint)'), 'z', 'z > 0')})"))} as xs
     from (select person, {e.set('company')} as xs from posts where end_date is null group by person) a full outer join (select person, {e.set('company')} as xs from posts where n_lines > 1 group by person) b on a.person = b.person""")
 both("a3_sum_over_union", lambda e: "select name, cast(sum(n) as bigint) as n from (select first_name as name, count(*) as n from register_people group by first_name union all select first_name, count(*) from candidates group by first_name) x group by name")
 both("a4_avg_group_by_all", lambda e: "select last_name, code2, round(avg(votes), 6) as mean from candidates group by all")
@@ -130,10 +130,10 @@ both("a18_publication_histogram", lambda e: f"""select cast(b.x as bigint) as bu
 both("a19_breakdowns", lambda e: """select greatest(-5, least(5, cast(floor(total / 100) as bigint) - 10)) as score, count(*) as nodes, cast(sum(voters) as bigint) as voters from (select node, sum(amount) as total, count(distinct voter) as voters from votes group by node) x group by 1""")
 both("a20_activity_series", lambda e: f"""select d.x as day, count(v.vote) as total, count(v.vote) filter (where category = 'click') as clicks, count(v.vote) filter (where category = 'error') as errors, count(distinct voter) as voters
     from (select x from (select min(day) as lo, max(day) as hi from votes) r {e.unnest(e.days_seq('lo', 'hi'))}) d left join (select * from votes where node < 20) v on v.day = d.x group by d.x""")
-both("a21_domain_stats", lambda e: f"""select domain, count(*) as articles, count(distinct lang) as langs, {e.set('lang')} as lang_set from (select {e.rx_group('url', '^https?://([^/]+)/', 1)} as domain, {e.rx_group('url', '^https?://[^/]+/([a-z]+)/', 1)} as lang from pages) x group by domain""")
+both("a21_domain_stats", lambda e: f"""select domain, count(*) as articles, count(distinct lang) as langs, {e.text(e.set('lang'))} as lang_set from (select {e.rx_group('url', '^https?://([^/]+)/', 1)} as domain, {e.rx_group('url', '^https?://[^/]+/([a-z]+)/', 1)} as lang from pages) x group by domain""")
 both("a22_value_attribution", lambda e: """select p.nip, round(sum(c.amount / k.n), 4) as value, count(distinct p.contract) as contracts from parties p join contracts c on p.contract = c.contract join (select contract, count(*) as n from parties group by contract) k on k.contract = p.contract group by p.nip""")
 both("a23_counterparty_kinds", lambda e: "select kind, count(*) as n, count(distinct nip) as held, round(sum(c.amount), 2) as value from parties p join contracts c on p.contract = c.contract group by kind")
-both("a24_tag_ranges", lambda e: f"""select user_id, {e.sorted("array_agg(" + e.struct(n='-n', tag='kind', first='first', last='last') + ")")} as tags, cast(sum(n) as bigint) as total from (select user_id, kind, count(*) as n, min(cast(ts as date)) as first, max(cast(ts as date)) as last from notes group by user_id, kind) x group by user_id""")
+both("a24_tag_ranges", lambda e: f"""select user_id, {e.text(e.sorted("array_agg(" + e.struct(n='-n', tag='kind', first='first', last='last') + ")"), "z.tag || ':' || cast(-z.n as string) || ':' || cast(z.first as string) || ':' || cast(z.last as string)")} as tags, cast(sum(n) as bigint) as total from (select user_id, kind, count(*) as n, min(cast(ts as date)) as first, max(cast(ts as date)) as last from notes group by user_id, kind) x group by user_id""")
 both("a25_widespread_stems", lambda e: f"""select stem, count(distinct doc_id) as n from (select doc_id, {e.rx_replace('x', '(ing|ion|ed)$', '')} as stem from documents {e.unnest(e.split('lower(text)', '[^a-z]+'))} where doc_id < 400) y where length(stem) > 2 group by stem having count(distinct doc_id) > 50""")
 both("a26_most_common", lambda e: "select last_name, count(*) as n from candidates group by last_name having count(*) >= 5 order by n desc, last_name limit 10")
 both("a27_field_presence", lambda e: f"""select field, count(*) as n, count(v) filter (where v <> '') as filled, round(cast(count(v) filter (where v <> '') as double) / count(*), 9) as rate from
@@ -150,7 +150,7 @@ both("a35_party_share_by_company", lambda e: """select company, c_mktsegment as
 both("a36_delay_histogram", lambda e: f"""select case when d <= 1 then '0-1' when d <= 3 then '2-3' when d <= 7 then '4-7' else '8+' end as bucket, count(*) as n from (select u.krs, u.day, min({e.days('u.day', 's.day')}) as d from updates u join scrapes s on s.krs = u.krs and s.day >= u.day group by u.krs, u.day) x group by 1""")
 both("a37_roster_cutoff", lambda e: f"select company, {e.size(e.set('person'))} as people, {e.size(e.set('person'))} > 450 as oversized from posts group by company")
 both("a39_counts_per_table", lambda e: "select 'orders' as name, count(*) as n from orders union all select 'lineitem', count(*) from lineitem union all select 'customer', count(*) from customer union all select 'events', count(*) from events")
-both("a40_duplicate_keys", lambda e: "select first_name, birth_year, count(*) as n from register_people group by first_name, birth_year having count(*) > 1")
+both("a40_duplicate_keys", lambda e: "select first_name, place, count(*) as n from register_people group by first_name, place having count(*) > 1")
 
 # --- windows
 
@@ -188,5 +188,5 @@ both("u1_union_all", lambda e: "select first_name as name from register_people w
 both("u2_concat_keep_first", lambda e: "select url, source from (select url, source, row_number() over (partition by url order by source) as rn from (select url, 1 as source from pages where page_id % 2 = 0 union all select url, 2 from pages where page_id % 3 = 0) x) y where rn = 1")
 both("u3_set_algebra", lambda e: "select 'union' as op, k from (select company as k from companies where company % 2 = 0 union select company from companies where company % 3 = 0) a union all select 'minus', k from (select company as k from companies where company % 2 = 0 except select company from companies where company % 3 = 0) b")
 both("u4_intersection", lambda e: "select company from companies where is_public intersect select company from companies where code2 in ('01', '02')")
-both("u8_added_and_removed", lambda e: f"""select a.krs, {e.except_('b.xs', 'a.xs')} as added, {e.except_('a.xs', 'b.xs')} as removed from (select user_id as krs, {e.set('event_type')} as xs from events where event_id < 500 group by user_id) a
+both("u8_added_and_removed", lambda e: f"""select a.krs, {e.text(e.except_('b.xs', 'a.xs'))} as added, {e.text(e.except_('a.xs', 'b.xs'))} as removed from (select user_id as krs, {e.set('event_type')} as xs from events where event_id < 500 group by user_id) a
     join (select user_id as krs, {e.set('event_type')} as xs from events where event_id between 500 and 900 group by user_id) b on a.krs = b.krs""")

@@ -115,13 +115,13 @@ def k6(t):
 
 
 @query("u7_field_diff", lambda e: f"""with old as (select rev as r, node, event_type, user_id from revisions), d as (select a.r, {e.array("case when a.event_type <> b.event_type then 'event_type' end", "case when a.user_id <> b.user_id then 'user_id' end")} as xs from old a join old b on b.r = a.r + 400)
-    select r, {e.filter('xs', 'x', 'x is not null')} as changed from d""")
+    select r, {e.text(e.filter('xs', 'x', 'x is not null'))} as changed from d""")
 def u7(t):
     r = t["revisions"]
     as_map = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("user_id"), F.col("user_id").cast("string"))
     a = r.select(F.col("rev").alias("r"), as_map.alias("old"))
     b = r.select((F.col("rev") - 400).alias("r"), as_map.alias("new"))
-    return sets.map_diff(a.join(b, "r"), "old", "new").select("r", "changed")
+    return sets.map_diff(a.join(b, "r"), "old", "new").select("r", F.array_join("changed", ",").alias("changed"))
 
 
 @query("y1_occurrence_match", lambda e: """with i as (select vote, node, category, row_number() over (partition by node, category order by vote) as n from votes where vote % 2 = 0),
