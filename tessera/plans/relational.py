@@ -82,7 +82,7 @@ both("j23_lookup_with_dominant_fallback", lambda e: """with shares as (select co
     select c.company, coalesce(x.activity, d.activity) as activity from companies c left join (select company, activity from companies where company % 2 = 0) x on c.company = x.company left join dom d on c.code2 = d.code2""")
 both("j25_bidirectional_prefix", lambda e: f"""select r.id, p.id as other from register_people r join (select distinct last_name, code2 as code, person as id from candidates where person % 50 = 0 union select distinct last_name, code4, person from candidates where person % 50 = 1) p
     on r.last_name = p.last_name join place_codes pc on r.place = pc.place where {e.starts('pc.code4', 'p.code')} or {e.starts('p.code', 'pc.code4')}""")
-both("j26_identifier_cross_map", lambda e: """select p.contract, p.seq, coalesce(a.krs, b.krs, 'kmgp_' || cast(p.supplier as string)) as key from parties p left join (select nip, krs from companies where company % 2 = 0) a on p.nip = a.nip
+both("j26_identifier_cross_map", lambda e: """select p.contract, p.seq, coalesce(a.krs, b.krs, 'other_' || cast(p.supplier as string)) as key from parties p left join (select nip, krs from companies where company % 2 = 0) a on p.nip = a.nip
     left join (select company, krs from companies where company % 3 = 0) b on p.supplier = b.company""")
 both("j28_article_merge", lambda e: """select a.article, f.n as facts, s.model_score, m.people from articles a join (select node as article, count(*) as n from notes group by node) f on a.article = f.article
     left join (select article, model_score from articles where model_score > 1) s on a.article = s.article left join (select node as article, count(distinct user_id) as people from notes where kind = 'click' group by node) m on a.article = m.article""")
