@@ -24,6 +24,7 @@ RADIUS = 4
 SEED = 42
 #: Variants that one bucket step holds in memory at once (8 bytes each).
 STEP = 1 << 21
+_RUN = np.uint64(0x9E3779B185EBCA87)
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
@@ -40,6 +41,19 @@ def shingle_hashes(text: str | None, width: int, seed: int = SEED) -> np.ndarray
     return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, len(grams))
 
 
+def run_hashes(text: str | None, width: int) -> np.ndarray:
+    """A hash for every run of `width` words, mixed from hashes of the words; one for a shorter text, none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(w) - width + 1) if len(w) else 0
+    h = np.zeros(n, np.uint64)
+    for k in range(min(width, len(w))):
+        h = (h ^ h >> np.uint64(32)) * _RUN + w[k : k + n]
+    h ^= h >> np.uint64(31)
+    h *= _RUN
+    return h ^ h >> np.uint64(29)
+
+
 def fingerprint(text: str | None, width: int = 4, seed: int = SEED) -> int:
     """64-bit SimHash: a bit is 1 if it is set in over half of the shingle hashes; 0 for a text without words."""
     h = shingle_hashes(text, width, seed)
@@ -130,13 +144,18 @@ def bucket_links(fps: np.ndarray, bucket: int, prefix: int, radius: int = RADIUS
     return fps[root[leaf]], fps[leaf]
 
 
+def prefix_bits(n: int) -> int:
+    """Length of the prefix that deals out variants of n fingerprints: buckets grow in number with the input, so that
+    each stays small, and a fingerprint goes to 56 buckets at 10 bits, 106 at 14 and 301 at 24."""
+    return min(24, max(10, math.ceil(math.log2(max(n, 2))) - 10))
+
+
 def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between different fingerprints at the radius or less, with the same components as all of them.
 
-    distinct has one row for each fingerprint fp (long); n is their count, from which the prefix length follows:
-    buckets grow in number with the input, so that each stays small.
+    distinct has one row for each fingerprint fp (long); n is their count.
     """
-    prefix = min(24, max(12, math.ceil(math.log2(max(n, 2))) - 8))
+    prefix = prefix_bits(n)
     masks = _masks(prefix, radius // 2).astype(np.int64).tolist()
     top = F.shiftrightunsigned("fp", 64 - prefix)
     dealt = distinct.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("m")).select("fp", top.bitwiseXOR(F.col("m").cast("long")).alias("bucket"))
@@ -200,7 +219,7 @@ def word_prints(text: str | None, functions: int = FUNCTIONS) -> list[int]:
 
 def sketch(text: str | None, width: int = 5) -> bytes:
     """A byte for each bin of the shingle hashes: 0 if it is empty, else a digest of the bin's least hash."""
-    h = np.unique(shingle_hashes(text, width))
+    h = np.unique(run_hashes(text, width))
     out = np.zeros(BINS, np.uint8)
     bins, rest = (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(9)
     order = np.lexsort((rest, bins))
@@ -220,7 +239,7 @@ def _node_links(nodes: DataFrame, fp: str, n: int) -> DataFrame:
     """(a, b): links between nodes whose fingerprints are within the radius, a forest in each bucket."""
     first = nodes.groupBy(fp).agg(F.min("node").alias("node"))
     same = nodes.withColumn("k", detached(fp)).join(first.select(detached(fp).alias("k"), F.col("node").alias("a")), "k").where("node <> a").select("a", F.col("node").alias("b"))
-    prefix = min(24, max(12, math.ceil(math.log2(max(n, 2))) - 8))
+    prefix = prefix_bits(n)
     masks = _masks(prefix, RADIUS // 2).astype(np.int64).tolist()
     dealt = first.select(F.col(fp).alias("fp"), "node", F.explode(F.array(*map(F.lit, masks))).alias("m"))
     dealt = dealt.select("fp", "node", F.shiftrightunsigned("fp", 64 - prefix).bitwiseXOR(F.col("m").cast("long")).alias("bucket"))
