@@ -49,31 +49,43 @@ _punct = re.compile(r"[.,;:!?…。，！？、؟।]")
 class Element(NamedTuple):
     tag: str
     parent: int
-    other: bool  # this or an element around it is no part of an article
+    mark: int  # 2 if it is surely no part of an article, 1 if its class or id says so
     text: bool  # its text is text at all
     depth: int
 
 
-def _marked(tag: str, attrs: str) -> bool:
+def _mark(tag: str, attrs: str) -> int:
     if tag in NOT_ARTICLE:
-        return True
-    if not attrs or tag in ("html", "body"):
-        return False
-    for name, a, b, c in _attr.findall(attrs):
+        return 2
+    found = 0
+    for name, a, b, c in _attr.findall(attrs) if attrs and tag not in ("html", "body") else ():
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id") and MARKS.search(value):
-            return True
+            found = 1
         if name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return 2
+    return found
+
+
+def others(elements: list[Element], by_class: bool = True) -> list[bool]:
+    """For each element whether it or one around it is no part of an article.  A class or id doesn't count on an
+    element that holds the article (a page's frame may be called "with-sidebar")."""
+    holds = [e.tag in ("article", "main") for e in elements]
+    for i in range(len(elements) - 1, 0, -1):
+        if holds[i]:
+            holds[elements[i].parent] = True
+    out: list[bool] = []
+    for i, e in enumerate(elements):
+        out.append(e.parent >= 0 and out[e.parent] or e.mark == 2 or e.mark == 1 and by_class and not holds[i])
+    return out
 
 
 def parse(page: str) -> tuple[list[Element], list[tuple[int, int, str]]]:
     """The elements, and the text nodes as (block, element, text) in page order; a block ends at any element that
     isn't inline."""
-    elements = [Element("", -1, False, True, 0)]
+    elements = [Element("", -1, 0, True, 0)]
     nodes: list[tuple[int, int, str]] = []
     stack = [0]
     block, at, n = 0, 0, len(page)
@@ -121,7 +133,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, int, str]]]:
                 del stack[j:]
                 break
         up = elements[stack[-1]]
-        elements.append(Element(tag, stack[-1], up.other or _marked(tag, attrs), up.text and tag not in NOT_TEXT, up.depth + 1))
+        elements.append(Element(tag, stack[-1], _mark(tag, attrs), up.text and tag not in NOT_TEXT, up.depth + 1))
         if attrs.rstrip().endswith("/") and tag in ("svg", "path", "circle", "rect", "use"):
             continue
         stack.append(len(elements) - 1)
@@ -131,13 +143,13 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, int, str]]]:
     return elements, nodes
 
 
-def _path_ids(elements: list[Element]) -> tuple[list[int], list[tuple[int, str]]]:
+def _path_ids(elements: list[Element], other: list[bool]) -> tuple[list[int], list[tuple[int, str]]]:
     """Each element's path as a number, and the (number before, step) that a number stands for."""
     known: dict[tuple[int, str], int] = {}
     steps: list[tuple[int, str]] = []
     ids: list[int] = []
-    for e in elements:
-        step = (ids[e.parent] if e.parent >= 0 else -1, e.tag + "!" * e.other)
+    for e, o in zip(elements, other):
+        step = (ids[e.parent] if e.parent >= 0 else -1, e.tag + "!" * o)
         if step not in known:
             known[step] = len(steps)
             steps.append(step)
@@ -145,7 +157,7 @@ def _path_ids(elements: list[Element]) -> tuple[list[int], list[tuple[int, str]]
     return ids, steps
 
 
-def _ratios(elements: list[Element], nodes: list[tuple[int, int, str]], ids: list[int]) -> dict[int, tuple[int, int, int, float]]:
+def _ratios(nodes: list[tuple[int, int, str]], ids: list[int]) -> dict[int, tuple[int, int, int, float]]:
     """path: (nodes, text length, punctuation, fused ratio), in order of first use."""
     found: dict[int, list[int]] = {}
     for _, e, raw in nodes:
@@ -169,9 +181,9 @@ def _ratios(elements: list[Element], nodes: list[tuple[int, int, str]], ids: lis
 def path_ratios(elements: list[Element], nodes: list[tuple[int, int, str]]) -> list[tuple[str, int, int, int, float]]:
     """(path, nodes, text length, punctuation, fused ratio) of each tag path with text, in order of first use; a step
     ends in ! where it is marked as something other than the article."""
-    ids, steps = _path_ids(elements)
+    ids, steps = _path_ids(elements, others(elements))
     out = []
-    for p, row in _ratios(elements, nodes, ids).items():
+    for p, row in _ratios(nodes, ids).items():
         names = []
         while p >= 0:
             names.append(steps[p][1])
@@ -183,11 +195,15 @@ def path_ratios(elements: list[Element], nodes: list[tuple[int, int, str]]) -> l
 def blocks(page: str | None) -> list[str]:
     """The blocks of the page's main text, in order."""
     elements, nodes = parse(page or "")
-    nodes = [x for x in nodes if not elements[x[1]].other]
-    ids, _ = _path_ids(elements)
-    rows = _ratios(elements, nodes, ids)
-    if not rows:
+    for by_class in (True, False):  # where classes leave nothing, they are not taken at their word
+        other = others(elements, by_class)
+        ids, _ = _path_ids(elements, other)
+        rows = _ratios([x for x in nodes if not other[x[1]]], ids)
+        if rows:
+            break
+    else:
         return []
+    nodes = [x for x in nodes if not other[x[1]]]
     fused = np.array([r[3] for r in rows.values()])
     best = float(fused.max())
     level = max(PART * best, 0.5 * min(float(fused.mean() + LIFT * fused.std()), best))

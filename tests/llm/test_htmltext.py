@@ -17,8 +17,14 @@ def test_without_article_element():
     assert blocks(page) == [(long * 3).strip(), long.strip(), "Point one.", "Point two."]
 
 
+def test_frame_named_after_a_part():
+    page = "<div class='layout with-sidebar'><div class=sidebar>Links, links.</div><article><p>The text, at last. It is here.</p></article></div>"
+    assert blocks(page) == ["The text, at last. It is here."]
+
+
 def test_awkward_pages():
-    assert blocks(None) == blocks("") == blocks("<script>x") == blocks("<div class='ads'>x</div>") == []
+    assert blocks(None) == blocks("") == blocks("<script>x") == blocks("<nav class='ads'>x</nav>") == []
+    assert blocks("<div class='ads'>x</div>") == ["x"]
     assert blocks("a < b &am") == ["a < b &am"]
     assert blocks("<p>one<p>two<b") == ["one", "two"]
     assert len(blocks("<div>" * 3000 + "deep" + "</div>" * 10)) == 1
