@@ -23,7 +23,8 @@ from tessera.llm.common import map_batches
 
 #: Pre-tokens that a worker's cache holds at most; it starts anew when full.
 CACHE = 400_000
-LOAD = 4  # keys in a bucket of the hash, on average
+LOAD = 2  # keys in a bucket of the hash, on average
+DIRECT = 1 << 63  # marks a displacement that is a slot
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,7 +37,7 @@ class PerfectHash:
     """Minimal perfect hash of byte strings: key -> value, None for others (the slot's key is compared).
 
     A key's bucket comes from one half of its 64-bit hash; the bucket's displacement sends its keys to free slots, as
-    many as there are keys.  Large buckets are placed first.
+    many as there are keys.  Large buckets are placed first; those of one key take what is left and name their slot.
     """
 
     def __init__(self, items: dict[bytes, int]):
@@ -51,10 +52,15 @@ class PerfectHash:
             h = xxhash.xxh3_64_intdigest(k)
             by.setdefault((h >> 32) % self.buckets, []).append((h, k))
         used = bytearray(n)
-        free = n
+        left = 0
         for b, own in sorted(by.items(), key=lambda x: (-len(x[1]), x[0])):
             if len({h for h, _ in own}) < len(own):
                 raise ValueError("two keys share a hash")
+            if len(own) == 1:
+                left = used.index(0, left)
+                self.shift[b] = DIRECT | left
+                used[left], self.keys[left], self.values[left] = 1, own[0][1], items[own[0][1]]
+                continue
             d = 1
             while True:
                 slots = [self._slot(h, d) for h, _ in own]
@@ -64,9 +70,10 @@ class PerfectHash:
             self.shift[b] = d
             for s, (_, k) in zip(slots, own):
                 used[s], self.keys[s], self.values[s] = 1, k, items[k]
-            free -= len(own)
 
     def _slot(self, h: int, d: int) -> int:
+        if d & DIRECT:
+            return d ^ DIRECT
         x = (h ^ d * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
         return ((x ^ x >> 31) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) % self.n
 
@@ -92,9 +99,8 @@ class Codec:
         """Merge the lowest-ranked neighbours, leftmost first, until none can be: a heap over linked bytes."""
         n = len(piece)
         rank = self.ranks.get
-        nxt = list(range(1, n + 1))
         prv = list(range(-1, n - 1))
-        end = nxt[:]  # a live part is piece[i:end[i]]; end[i] is 0 once it has gone
+        end = list(range(1, n + 1))  # a live part is piece[i:end[i]]; end[i] is 0 once it has gone
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
@@ -103,7 +109,6 @@ class Codec:
             if not j or j >= n or end[j] != e:
                 continue  # one of the two has changed since
             end[i], end[j] = e, 0
-            nxt[i] = e
             if e < n:
                 prv[e] = i
                 if (r := rank(piece[i : end[e]])) is not None:
