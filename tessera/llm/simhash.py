@@ -190,6 +190,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS, id_co
 SIMILARITY = 0.8
 FUNCTIONS = 4
 BINS = 512
+#: Groups of minima of a text's shingle hashes, and minima in each: two texts of similarity s share a group with
+#: probability 1 - (1 - s^MINIMA)^GROUPS, wherever they differ: 0.9995 at 0.8, 0.96 at 0.7.
+GROUPS = 25
+MINIMA = 6
 #: Words of fewer bytes say little about a text; they are used where it has fewer than MIN_WORDS others.
 LONG = 4
 MIN_WORDS = 8
@@ -200,7 +204,8 @@ _ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 3) % (1 << 64) | 1) for j in ran
 def word_prints(text: str | None, functions: int = FUNCTIONS) -> list[int]:
     """SimHashes of the text's distinct words under several hash functions.
 
-    At a similarity of 0.8 over runs of five words, about one word in 45 differs, which moves a few bits."""
+    Where single words are changed here and there, one in 45 differs at a similarity of 0.8 over runs of five words,
+    which moves a few bits.  A passage of other words moves more: such pairs are found by group_prints()."""
     words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
     some = [w for w in words if len(w) >= LONG]
     h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in (some if len(some) >= MIN_WORDS else words)], np.uint64)
@@ -217,9 +222,29 @@ def word_prints(text: str | None, functions: int = FUNCTIONS) -> list[int]:
     return out
 
 
+_FLIPS, _TURNS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, GROUPS * MINIMA, 1), np.uint64) | np.uint64(1)
+
+
+def group_prints(h: np.ndarray) -> np.ndarray:
+    """A hash for each group of minima of the shingle hashes, each minimum under a function of its own; signed."""
+    least = np.full(GROUPS * MINIMA, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 1 << 12):
+        least = np.minimum(least, ((h[None, at : at + (1 << 12)] ^ _FLIPS) * _TURNS).min(1))
+    least = least.reshape(GROUPS, MINIMA)
+    out = np.arange(1, GROUPS + 1, dtype=np.uint64) * _RUN
+    for k in range(MINIMA):
+        out = (out ^ out >> np.uint64(32)) * _RUN + least[:, k]
+    out ^= out >> np.uint64(31)
+    out *= _RUN
+    return (out ^ out >> np.uint64(29)).view(np.int64)
+
+
 def sketch(text: str | None, width: int = 5) -> bytes:
-    """A byte for each bin of the shingle hashes: 0 if it is empty, else a digest of the bin's least hash."""
-    h = np.unique(run_hashes(text, width))
+    return binned(np.unique(run_hashes(text, width)))
+
+
+def binned(h: np.ndarray) -> bytes:
+    """A byte for each bin of the distinct shingle hashes: 0 if it is empty, else a digest of the bin's least hash."""
     out = np.zeros(BINS, np.uint8)
     bins, rest = (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(9)
     order = np.lexsort((rest, bins))
@@ -257,29 +282,34 @@ def _node_links(nodes: DataFrame, fp: str, n: int) -> DataFrame:
 def duplicates(docs: DataFrame, threshold: float = SIMILARITY, width: int = 5, functions: int = FUNCTIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, root): the documents that are not the smallest doc_id of their group, with that.
 
-    Documents are grouped by equal texts, and by links between documents whose word SimHash is within RADIUS bits under
-    some hash function and whose shingles have a similarity of threshold or more, estimated by BINS bins.  Null and
-    empty texts count as equal.  Rows without an id are left out; other columns are ignored."""
+    Documents are grouped by equal texts, and by links between documents that share a group of minima of their shingles
+    or whose word SimHash is within RADIUS bits under some hash function, and whose shingles have a similarity of
+    threshold or more, estimated by BINS bins.  Null and empty texts count as equal.  Rows without an id are left out;
+    other columns are ignored."""
     prints = ", ".join(f"fp{j} long" for j in range(functions))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.as_py() or "" for t in batch.column("text")]
         th = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
         fps = list(zip(*(word_prints(t, functions) for t in texts)))
-        return pa.record_batch([batch.column("doc_id"), pa.array(th), *(pa.array(f, pa.int64()) for f in fps), pa.array([sketch(t, width) for t in texts], pa.binary())], names=["doc_id", "th", *(f"fp{j}" for j in range(functions)), "sketch"])
+        runs = [np.unique(run_hashes(t, width)) for t in texts]
+        groups = pa.array([group_prints(h) for h in runs], pa.list_(pa.int64()))
+        return pa.record_batch([batch.column("doc_id"), pa.array(th), *(pa.array(f, pa.int64()) for f in fps), pa.array(map(binned, runs), pa.binary()), groups], names=["doc_id", "th", *(f"fp{j}" for j in range(functions)), "sketch", "groups"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(map_batches(rows, run, f"doc_id long, th long, {prints}, sketch binary"), "prints")
+    rows = cut(map_batches(rows, run, f"doc_id long, th long, {prints}, sketch binary, groups array<long>"), "prints")
     # One node for each text; a text that is a hot copy is reduced before it is shuffled.
     first = cut(rows.groupBy("th").agg(F.min("doc_id").alias("node")), "texts")
     copies = rows.select("doc_id", "th", detached("th").alias("k")).join(first.select(detached("th").alias("k"), "node"), "k").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     nodes = rows.join(first.select(F.col("node").alias("doc_id"), F.col("th").alias("t")), ["doc_id"], "inner").where("th = t").drop("t").withColumnRenamed("doc_id", "node")
     nodes = cut(nodes.dropDuplicates(["node"]), "nodes")
     n = nodes.count()
-    found = None
+    held = nodes.select("node", F.explode("groups").alias("g"))
+    least = held.groupBy("g").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select(detached("g").alias("k"), "a")
+    held = cut(held.withColumn("k", detached("g")).join(least, "k").select("g", "node", "a"), "held")
+    found = held.where("node <> a").select("a", F.col("node").alias("b"))
     for j in range(functions):
-        part = _node_links(nodes.select("node", f"fp{j}"), f"fp{j}", n)
-        found = part if found is None else found.union(part)
+        found = found.union(_node_links(nodes.select("node", f"fp{j}"), f"fp{j}", n))
     found = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     known = nodes.select(detached("node").alias("k"), "sketch")
     both = found.withColumn("k", detached("a")).join(known.withColumnRenamed("sketch", "x"), "k").drop("k")

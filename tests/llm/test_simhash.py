@@ -1,6 +1,6 @@
 import numpy as np
 
-from tessera.llm.simhash import bucket_links, fingerprint, keep_one, near_duplicates, similarity, sketch
+from tessera.llm.simhash import bucket_links, duplicates, fingerprint, keep_one, near_duplicates, similarity, sketch
 
 from .data import BASE, DOCS, frame, sentence
 
@@ -92,3 +92,16 @@ def test_keep_one_of_near_copies(spark):
     # "\t\n " has no words either but differs from the empty text: its sketch is the same, so it goes with doc 4.
     assert set(got) == want
     assert keep_one(frame(spark, [])).collect() == []
+
+
+def test_appended_and_replaced_passages_are_found(spark):
+    """Other words in one place move many bits of a SimHash of words."""
+    rows = []
+    for g in range(40):
+        base = sentence(3000 + g, 400).split()
+        other = sentence(4000 + g, 60).split()
+        edited = base + other if g % 2 else base[:150] + other[:30] + base[180:]
+        assert jaccard(" ".join(base), " ".join(edited)) > 0.82
+        rows += [(2 * g, " ".join(base), "g"), (2 * g + 1, " ".join(edited), "g")]
+    got = {(r.doc_id, r.root) for r in duplicates(frame(spark, rows)).collect()}
+    assert got == {(2 * g + 1, 2 * g) for g in range(40)}
