@@ -189,11 +189,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS, id_co
 
 SIMILARITY = 0.8
 FUNCTIONS = 4
-BINS = 512
 #: Groups of minima of a text's shingle hashes, and minima in each: two texts of similarity s share a group with
 #: probability 1 - (1 - s^MINIMA)^GROUPS, wherever they differ: 0.9995 at 0.8, 0.96 at 0.7.
 GROUPS = 25
 MINIMA = 6
+BINS = 512
+#: Texts of a block: two blocks of a group are compared in a task.
+BLOCK = 1024
 #: Words of fewer bytes say little about a text; they are used where it has fewer than MIN_WORDS others.
 LONG = 4
 MIN_WORDS = 8
@@ -312,18 +314,69 @@ def duplicates(docs: DataFrame, threshold: float = SIMILARITY, width: int = 5, f
         found = found.union(_node_links(nodes.select("node", f"fp{j}"), f"fp{j}", n))
     found = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     known = nodes.select(detached("node").alias("k"), "sketch")
-    both = found.withColumn("k", detached("a")).join(known.withColumnRenamed("sketch", "x"), "k").drop("k")
-    both = both.withColumn("k", detached("b")).join(known.withColumnRenamed("sketch", "y"), "k").drop("k")
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = [similarity(x, y) >= threshold for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
         return pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    verified = map_batches(both.select("a", "b", "x", "y"), check, "a long, b long")
-    groups = connected_components(verified.union(copies), "a", "b")
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.withColumn("k", detached("a")).join(known.withColumnRenamed("sketch", "x"), "k").drop("k")
+        both = both.withColumn("k", detached("b")).join(known.withColumnRenamed("sketch", "y"), "k").drop("k")
+        return cut(map_batches(both.select("a", "b", "x", "y"), check, "a long, b long"), "verified")
+
+    links = verified(found)
+    # A star links all of a group only if none of its pairs fails: what the verified links leave apart is compared in pairs.
+    links = links.union(_relinked(_apart(held, links), nodes.select("node", "sketch"), threshold))
+    groups = connected_components(links.union(copies), "a", "b")
     return groups.where("node <> root").select(F.col("node").alias("doc_id"), "root")
 
 
+def _apart(held: DataFrame, links: DataFrame) -> DataFrame:
+    """(g, node, root, n) of held(g, node) where links leave g's nodes in several components: root is the node's, n counts g's nodes."""
+    roots = connected_components(links, "a", "b").select(detached("node").alias("k"), "root")
+    rooted = cut(held.withColumn("k", detached("node")).join(roots, "k", "left").select("g", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    several = rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    return cut(rooted.withColumn("k", detached("g")).join(several.select(detached("g").alias("k"), "n"), "k").select("g", "node", "root", "n"), "apart")
+
+
+def joined(root: np.ndarray, side: np.ndarray | None, close) -> list[tuple[int, int]]:
+    """Places of pairs, a forest over the components root, that join all that any close pair joins.
+
+    close(i, at) tells which of the places `at` are close to i.  With side, pairs of one side aren't compared."""
+    root, out = root.copy(), []
+    for i in range(len(root) - 1):
+        at = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (True if side is None else side[i + 1 :] != side[i]))
+        for j in at[close(i, at)].tolist() if len(at) else []:
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                out.append((i, j))
+    return out
+
+
+def _relinked(apart: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join the components of every two nodes of a group g that are near copies.
+
+    Large groups are cut into blocks, every two of which meet in a task."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = apart.select("g", "node", "root", F.pmod(F.xxhash64("node"), blocks).alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("g", "node", "root", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+    rows = rows.withColumn("k", detached("node")).join(known.select(detached("node").alias("k"), "sketch"), "k").drop("k")
+
+    def run(key, t):
+        node, root, side = (t.column(c).to_numpy() for c in ("node", "root", "side"))
+        x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+
+        def close(i: int, at: np.ndarray) -> np.ndarray:
+            used = np.count_nonzero(x[at] | x[i], axis=1)
+            same = np.count_nonzero((x[at] == x[i]) & (x[i] != 0), axis=1)
+            return (same >= threshold * used) | (used == 0)
+
+        pairs = joined(root, None if key[1] == key[2] else side, close)
+        return pa.table({"a": pa.array([node[i] for i, _ in pairs], pa.int64()), "b": pa.array([node[j] for _, j in pairs], pa.int64())})
+
+    return cut(rows.groupBy("g", "low", "high").applyInArrow(run, "a long, b long"), "relinked")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the documents that duplicates() names; of rows that repeat an id one stays.
 

@@ -105,3 +105,19 @@ def test_appended_and_replaced_passages_are_found(spark):
         rows += [(2 * g, " ".join(base), "g"), (2 * g + 1, " ".join(edited), "g")]
     got = {(r.doc_id, r.root) for r in duplicates(frame(spark, rows)).collect()}
     assert got == {(2 * g + 1, 2 * g) for g in range(40)}
+
+
+def test_leaves_of_a_failed_star_are_compared(spark):
+    """Each group of minima that two near copies share holds a smaller id below the threshold to both."""
+    rows, pairs = [], set()
+    for g in range(6):
+        base = sentence(5000 + g, 300).split()
+        for v in range(60):
+            at = 4 * v
+            rows.append((1000 * g + v, " ".join(base[:at] + sentence(6000 + 60 * g + v, 60).split() + base[at + 60 :]), "g"))
+        other = base[:120] + sentence(9000 + g, 22).split() + base[142:]
+        assert jaccard(rows[-1][1], " ".join(base)) < 0.7 and jaccard(" ".join(base), " ".join(other)) > 0.82
+        rows += [(1000 * g + 100, " ".join(base), "g"), (1000 * g + 101, " ".join(other), "g")]
+        pairs.add((1000 * g + 101, 1000 * g + 100))
+    got = {(r.doc_id, r.root) for r in duplicates(frame(spark, rows)).collect()}
+    assert {p for p in got if p[0] % 1000 > 99} == pairs
