@@ -194,6 +194,8 @@ FUNCTIONS = 4
 GROUPS = 25
 MINIMA = 6
 BINS = 512
+#: Where the sketch's estimate is this close to the threshold (4.5 standard errors), the shingles themselves decide.
+BAND = 0.08
 #: Texts of a block: two blocks of a group are compared in a task.
 BLOCK = 1024
 #: Words of fewer bytes say little about a text; they are used where it has fewer than MIN_WORDS others.
@@ -262,6 +264,26 @@ def similarity(a: bytes, b: bytes) -> float:
     return int(np.count_nonzero((x == y) & (x != 0))) / used if used else 1.0
 
 
+def near(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether the Jaccard similarity of two sets of distinct hashes is threshold or more; two empty sets are equal."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= threshold * (len(x) + len(y) - both)
+
+
+def _runs(docs: DataFrame, nodes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(k, runs): the distinct shingle hashes of those nodes(node, th) that ids(node) names; k is the node, detached."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t.as_py() or "" for t in batch.column("text")]
+        th = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
+        return pa.record_batch([batch.column("node"), pa.array(th), pa.array([np.unique(run_hashes(t, width)).tobytes() for t in texts], pa.binary())], names=["node", "th", "runs"])
+
+    ids = cut(ids.distinct(), "ids")
+    texts = docs.withColumnRenamed("doc_id", "node").join(ids.hint("merge"), "node", "left_semi")
+    found = map_batches(texts, run, "node long, th long, runs binary").join(nodes.select("node", "th").join(ids, "node", "left_semi"), ["node", "th"], "left_semi")
+    return cut(found.select(detached("node").alias("k"), "runs").dropDuplicates(["k"]), "runs")
+
+
 def _node_links(nodes: DataFrame, fp: str, n: int) -> DataFrame:
     """(a, b): links between nodes whose fingerprints are within the radius, a forest in each bucket."""
     first = nodes.groupBy(fp).agg(F.min("node").alias("node"))
@@ -286,8 +308,8 @@ def duplicates(docs: DataFrame, threshold: float = SIMILARITY, width: int = 5, f
 
     Documents are grouped by equal texts, and by links between documents that share a group of minima of their shingles
     or whose word SimHash is within RADIUS bits under some hash function, and whose shingles have a similarity of
-    threshold or more, estimated by BINS bins.  Null and empty texts count as equal.  Rows without an id are left out;
-    other columns are ignored."""
+    threshold or more: a sketch of BINS bins tells clear pairs, the shingles themselves those within BAND of the threshold.
+    Null and empty texts count as equal.  Rows without an id are left out; other columns are ignored."""
     prints = ", ".join(f"fp{j} long" for j in range(functions))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -298,8 +320,8 @@ def duplicates(docs: DataFrame, threshold: float = SIMILARITY, width: int = 5, f
         groups = pa.array([group_prints(h) for h in runs], pa.list_(pa.int64()))
         return pa.record_batch([batch.column("doc_id"), pa.array(th), *(pa.array(f, pa.int64()) for f in fps), pa.array(map(binned, runs), pa.binary()), groups], names=["doc_id", "th", *(f"fp{j}" for j in range(functions)), "sketch", "groups"])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(map_batches(rows, run, f"doc_id long, th long, {prints}, sketch binary, groups array<long>"), "prints")
+    given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = cut(map_batches(given, run, f"doc_id long, th long, {prints}, sketch binary, groups array<long>"), "prints")
     # One node for each text; a text that is a hot copy is reduced before it is shuffled.
     first = cut(rows.groupBy("th").agg(F.min("doc_id").alias("node")), "texts")
     copies = rows.select("doc_id", "th", detached("th").alias("k")).join(first.select(detached("th").alias("k"), "node"), "k").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
@@ -315,18 +337,26 @@ def duplicates(docs: DataFrame, threshold: float = SIMILARITY, width: int = 5, f
     found = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     known = nodes.select(detached("node").alias("k"), "sketch")
 
+    def both(pairs: DataFrame, known: DataFrame, col: str) -> DataFrame:
+        out = pairs.withColumn("k", detached("a")).join(known.withColumnRenamed(col, "x"), "k").drop("k")
+        return out.withColumn("k", detached("b")).join(known.withColumnRenamed(col, "y"), "k").select("a", "b", "x", "y")
+
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = [similarity(x, y) >= threshold for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-        return pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        s = np.array([similarity(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())])
+        out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(s >= threshold + BAND)], names=["a", "b", "sure"])
+        return out.filter(pa.array(s >= threshold - BAND))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.withColumn("k", detached("a")).join(known.withColumnRenamed("sketch", "x"), "k").drop("k")
-        both = both.withColumn("k", detached("b")).join(known.withColumnRenamed("sketch", "y"), "k").drop("k")
-        return cut(map_batches(both.select("a", "b", "x", "y"), check, "a long, b long"), "verified")
+    def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = [near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+        return pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    links = verified(found)
+    checked = cut(map_batches(both(found, known, "sketch"), check, "a long, b long, sure boolean"), "checked")
+    close = checked.where("not sure").select("a", "b")
+    runs = _runs(given, nodes, close.select(F.col("a").alias("node")).union(close.select("b")), width)
+    links = checked.where("sure").select("a", "b").union(cut(map_batches(both(close, runs, "runs"), exact, "a long, b long"), "exact"))
     # A star links all of a group only if none of its pairs fails: what the verified links leave apart is compared in pairs.
-    links = links.union(_relinked(_apart(held, links), nodes.select("node", "sketch"), threshold))
+    apart = _apart(held, links)
+    links = links.union(_relinked(apart, _runs(given, nodes, apart.select("node"), width), threshold))
     groups = connected_components(links.union(copies), "a", "b")
     return groups.where("node <> root").select(F.col("node").alias("doc_id"), "root")
 
@@ -354,22 +384,24 @@ def joined(root: np.ndarray, side: np.ndarray | None, close) -> list[tuple[int,
 
 
 def _relinked(apart: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): links that join the components of every two nodes of a group g that are near copies.
+    """(a, b): links that join the components of every two nodes of a group g that are near copies; known is from _runs().
 
     Large groups are cut into blocks, every two of which meet in a task."""
     blocks = F.ceil(F.col("n") / BLOCK)
     rows = apart.select("g", "node", "root", F.pmod(F.xxhash64("node"), blocks).alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = rows.select("g", "node", "root", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
-    rows = rows.withColumn("k", detached("node")).join(known.select(detached("node").alias("k"), "sketch"), "k").drop("k")
+    rows = rows.withColumn("k", detached("node")).join(known, "k").drop("k")
 
     def run(key, t):
         node, root, side = (t.column(c).to_numpy() for c in ("node", "root", "side"))
-        x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        runs = [np.frombuffer(r, np.uint64) for r in t.column("runs").to_pylist()]
+        x = np.frombuffer(b"".join(map(binned, runs)), np.uint8).reshape(-1, BINS)
 
         def close(i: int, at: np.ndarray) -> np.ndarray:
             used = np.count_nonzero(x[at] | x[i], axis=1)
             same = np.count_nonzero((x[at] == x[i]) & (x[i] != 0), axis=1)
-            return (same >= threshold * used) | (used == 0)
+            share = np.where(used == 0, 1, same / np.maximum(used, 1))
+            return np.array([abs(v - threshold) >= BAND and v >= threshold or abs(v - threshold) < BAND and near(runs[i], runs[j], threshold) for v, j in zip(share, at)], bool)
 
         pairs = joined(root, None if key[1] == key[2] else side, close)
         return pa.table({"a": pa.array([node[i] for i, _ in pairs], pa.int64()), "b": pa.array([node[j] for _, j in pairs], pa.int64())})

@@ -121,3 +121,17 @@ def test_leaves_of_a_failed_star_are_compared(spark):
         pairs.add((1000 * g + 101, 1000 * g + 100))
     got = {(r.doc_id, r.root) for r in duplicates(frame(spark, rows)).collect()}
     assert {p for p in got if p[0] % 1000 > 99} == pairs
+
+
+def test_pairs_about_the_threshold_are_compared_exactly(spark):
+    """Similarities within a sketch's error of 0.8 on both sides."""
+    rows, want = [], set()
+    for g in range(60):
+        base = sentence(7000 + g, 404).split()
+        n = 40 + g % 10
+        other = base[: 404 - n] + sentence(8000 + g, n).split()
+        rows += [(2 * g, " ".join(base), "g"), (2 * g + 1, " ".join(other), "g")]
+        if jaccard(rows[-1][1], rows[-2][1]) >= 0.8:
+            want.add((2 * g + 1, 2 * g))
+    assert 10 < len(want) < 50
+    assert {(r.doc_id, r.root) for r in duplicates(frame(spark, rows)).collect()} == want
