@@ -4,7 +4,7 @@ Which suffixes are sorted.  Every window of LENGTH bytes has an anchor, the plac
 GRAM-byte strings; equal windows have it at the same offset.  So only suffixes that start at anchors matter (about one
 byte in 180), and of these only such as share their first CORE bytes, or the CORE bytes up to the anchor's end, with
 another anchor: any window reaches that far to one side.  Anchors whose whole surroundings occur twice are settled at
-once; one of each such class goes on as a partner for others.
+once, by 128 bits of hash; one of each such class goes on as a partner for others.
 
 How they are sorted.  A task sorts the suffixes of its anchors and sends each bucket a front-coded run: the length of
 the prefix shared with the one before, and the rest.  A bucket merges its runs with a loser tree that compares from the
@@ -122,9 +122,11 @@ def _left_core(buf: bytes, a: int, b: int, p: int) -> int | None:
     return _h64(buf[p - SIDE : p + GRAM], 2) if p - SIDE >= a else None
 
 
-def _whole(buf: bytes, a: int, b: int, p: int) -> int:
+def _whole(buf: bytes, a: int, b: int, p: int) -> tuple[int, int]:
+    """Two independent hashes of an anchor's surroundings: only 128 bits tell them apart at 10^12 anchors."""
     i, j = max(a, p - LENGTH + GRAM), min(b, p + LENGTH)
-    return _h64(buf[i:j], 3 + (p - i) * LENGTH + (j - p))
+    h = xxhash.xxh3_128_intdigest(buf[i:j], 3 + (p - i) * LENGTH + (j - p))
+    return h >> 64, h & 0xFFFFFFFFFFFFFFFF
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -150,7 +152,7 @@ def _count(segments: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, rows = [], []
         for row, buf, a, b, p in _spots(batch):
-            for h in (_right_core(buf, a, b, p), _left_core(buf, a, b, p), _whole(buf, a, b, p)):
+            for h in (_right_core(buf, a, b, p), _left_core(buf, a, b, p), *_whole(buf, a, b, p)):
                 if h is not None:
                     hashes.append(h)
                     rows.append(row)
@@ -433,13 +435,13 @@ def _send(buckets: int, hot):
             r, l = _right_core(buf, a, b, p), _left_core(buf, a, b, p)
             if r not in seen and l not in seen:
                 continue
-            w = _whole(buf, a, b, p)
-            settled = w in seen
+            w, w2 = _whole(buf, a, b, p)
+            settled = w in seen and w2 in seen
             if settled:
                 i, j = max(a, p - LENGTH + GRAM), min(b, p + LENGTH)
                 if j - i >= LENGTH:
                     done.setdefault(row, []).extend((i - a, j - a))
-                if w not in own:
+                if w not in own and w2 not in own:
                     continue
             for left, h in ((0, r), (1, l)):
                 if h not in seen:
@@ -533,9 +535,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
     buckets = 8 * partitions(spark)
     counted = map_batches(rows, _count(buckets), COUNTED)
-    # Hot cores: no more than an eighth of the filter's bits, as counts add up to at most three for each anchor.
+    # Hot cores: no more than an eighth of the filter's bits, as counts add up to at most four for each anchor.
     size = rows.agg(F.sum(F.length(F.col("text").cast("binary")))).first()[0] or 0
-    hot_from = max(HOT, size // 40 // (FILTER_BITS // 8))
+    hot_from = max(HOT, size // 30 // (FILTER_BITS // 8))
     told = cut(counted.groupBy("seg").applyInArrow(_tell(hot_from), TOLD), "told")
     hot = np.zeros(FILTER_BITS // 8, np.uint8)
     any_hot = False
