@@ -32,6 +32,8 @@ UNIT = 64
 FRAME = 1024  # samples in a frame: 128 ms
 LACE = 8  # frames in a block
 BLOCKS = 30  # blocks in a cluster
+DEPTH_LIMIT = 16  # elements within elements; the format needs 6
+LARGEST = 1 << 63  # numbers from here on fit no column
 
 
 class Packet(NamedTuple):
@@ -159,7 +161,8 @@ def parse(data: bytes) -> Media:
     """Packets in file order with their timestamps (in the file's scale, 1 ms by default) and byte ranges.
 
     Frames of a lace get timestamps from the track's sample rate where it is 8-bit PCM, else the block's.  A file that
-    ends early gives the packets before its end; data that is no Matroska file gives none.
+    ends early or is damaged gives the packets before that place; data that is no Matroska file, none.  Elements nested
+    deeper than DEPTH_LIMIT, numbers wider than eight bytes or from LARGEST on, and frames past the end are damage.
     """
     tracks: dict[int, dict] = {}
     packets: list[Packet] = []
@@ -174,23 +177,38 @@ def parse(data: bytes) -> Media:
         per_ms = t.get("rate", 0) * t.get("channels", 1) * t.get("depth", 0) / 8000 if t.get("codec", "").startswith("A_PCM") else 0
         ahead = 0
         for offset, size in _laced(data, at + 3, end, flags >> 1 & 3):
-            packets.append(Packet(track or 0, time + (int(ahead / per_ms) if per_ms else 0), bool(flags & 0x80) if keyframe is None else keyframe, offset, size))
+            due = time + (int(ahead / per_ms) if per_ms else 0)
+            if due >= LARGEST:
+                raise ValueError("late")
+            packets.append(Packet(track or 0, due, bool(flags & 0x80) if keyframe is None else keyframe, offset, size))
             ahead += size
 
     def uint(at: int, end: int) -> int:
-        return int.from_bytes(data[at:end], "big")
+        if end - at > 8 or end > len(data) or (n := int.from_bytes(data[at:end], "big")) >= LARGEST:
+            raise ValueError("wide number")
+        return n
 
     def fields(at: int, end: int) -> dict[int, tuple[int, int]]:
         out = {}
         while at < end:
             ident, at = read_id(data, at, end)
             n, at = read_size(data, at, end)
+            if n is None or at + n > end:
+                raise ValueError("cut off")
             out[ident] = (at, at + n)
             at += n
         return out
 
-    def walk(at: int, end: int, inside: int) -> int:
+    def hertz(raw: bytes) -> float:
+        rate = struct.unpack(">d" if len(raw) == 8 else ">f", raw)[0] if raw else 8000.0
+        if not 1 <= rate < 1e9:
+            raise ValueError("bad rate")
+        return rate
+
+    def walk(at: int, end: int, inside: int, depth: int = 0) -> int:
         """Read elements up to end; where inside has an unknown size, up to an element that can't be in it."""
+        if depth > DEPTH_LIMIT:
+            raise ValueError("too deep")
         while at < end:
             ident, body = read_id(data, at, end)
             if inside == -CLUSTER and (ident in TOP or ident == SEGMENT):
@@ -215,11 +233,10 @@ def parse(data: bytes) -> Media:
             elif ident == ENTRY:
                 f = fields(body, stop)
                 a = fields(*f[AUDIO]) if AUDIO in f else {}
-                rate = data[slice(*a[RATE])] if RATE in a else b""
                 tracks[uint(*f[NUMBER])] = {
                     "type": uint(*f[KIND]) if KIND in f else 0,
                     "codec": data[slice(*f[CODEC])].decode("ascii", "replace") if CODEC in f else "",
-                    "rate": struct.unpack(">d" if len(rate) == 8 else ">f", rate)[0] if rate else 8000.0,
+                    "rate": hertz(data[slice(*a[RATE])] if RATE in a else b""),
                     "channels": uint(*a[CHANNELS]) if CHANNELS in a else 1,
                     "depth": uint(*a[DEPTH]) if DEPTH in a else 0,
                 }
@@ -228,7 +245,7 @@ def parse(data: bytes) -> Media:
                 p = fields(*f[POSITIONS])
                 cues.append((uint(*f[CUE_TIME]), uint(*p[CUE_TRACK]), state["segment"] + uint(*p[CUE_AT])))
             elif ident in MASTERS:
-                stop = walk(body, stop, -CLUSTER if n is None and ident == CLUSTER else ident)
+                stop = walk(body, stop, -CLUSTER if n is None and ident == CLUSTER else ident, depth + 1)
             at = stop
         return at
 
@@ -261,7 +278,8 @@ def features(payload: bytes, media: Media) -> str:
 def to_media(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """docs with media_col, the file that holds the text's UTF-8 bytes (null: none) padded to whole units.
 
-    A column of that name is replaced; all others pass through."""
+    Null and empty texts give a file of one unit of zero bytes, equal texts equal files, a row each; an empty table gives
+    an empty result.  A column of that name is replaced; all others pass through."""
     names = [c for c in docs.columns if c != media_col]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -273,7 +291,9 @@ def to_media(docs: DataFrame, text_col: str = "text", media_col: str = "media")
 
 
 def packet_table(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
-    """(id_col, track, timestamp, keyframe, offset, size): one row for each packet; null or foreign media have none."""
+    """(id_col, track, timestamp, keyframe, offset, size): one row for each packet; null or foreign media have none.
+
+    Rows that repeat, or whose id is null, give their packets again; other columns are ignored.  See parse() for damage."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -290,7 +310,7 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.  Null and
     empty texts are one unit of zero bytes.  Equal texts give equal values; repeated rows and null ids stay; other
-    columns are ignored.
+    columns are ignored; an empty table gives an empty result.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

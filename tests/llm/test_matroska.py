@@ -58,3 +58,44 @@ def test_digest(spark):
     assert packets.where("doc_id = 12").count() == 1 and packets.where("doc_id = 10").count() > 50
     assert M.media_digest(frame(spark, [])).collect() == []
     assert struct.calcsize(">d") == 8
+
+
+def test_damaged_files_give_what_stands_before():
+    stored = M.write_pcm(bytes(range(256)) * 40)
+    whole = M.parse(stored).packets
+    nested = b""
+    for _ in range(3000):
+        nested = M.element(M.SEGMENT, nested)
+    assert M.parse(M.element(M.EBML, b"") + nested).packets == []
+    body = stored[len(M.element(M.EBML, b"")) :]
+    assert M.parse(stored + nested).packets == whole and body
+    wide = M.element(M.CLUSTER, M.element(M.TIMESTAMP, b"\xff" * 9) + M.element(M.SIMPLE, b"\x81\x00\x00\x80abc"))
+    huge = M.element(M.CLUSTER, M.element(M.TIMESTAMP, b"\xff" * 8) + M.element(M.SIMPLE, b"\x81\x00\x00\x80abc"))
+    late = M.element(M.CLUSTER, M.element(M.TIMESTAMP, b"\x7f" + b"\xff" * 7) + M.element(M.SIMPLE, b"\x81\x7f\xff\x80abc"))
+    for bad in (wide, huge, late):
+        assert M.parse(stored + bad).packets == whole
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.data())
+def test_any_bytes_parse(data):
+    """Changed, cut and inserted bytes never raise, and every packet lies in the file with numbers that fit a long."""
+    raw = bytearray(M.write_pcm(bytes(range(256)) * data.draw(st.integers(1, 80))))
+    for _ in range(data.draw(st.integers(1, 8))):
+        at = data.draw(st.integers(0, min(len(raw) - 1, 300) if data.draw(st.booleans()) else len(raw) - 1))
+        raw[at : at + data.draw(st.integers(0, 3))] = data.draw(st.binary(max_size=6))
+        if not raw:
+            return
+    media = M.parse(bytes(raw))
+    for p in media.packets:
+        assert 0 <= p.offset <= p.offset + p.size <= len(raw) and -(1 << 63) <= p.timestamp < 1 << 63
+
+
+def test_packet_table_of_hostile_media(spark):
+    nested = b""
+    for _ in range(3000):
+        nested = M.element(M.SEGMENT, nested)
+    wide = M.element(M.CLUSTER, M.element(M.TIMESTAMP, b"\xff" * 9))
+    rows = [(1, bytearray(M.element(M.EBML, b"") + nested)), (2, bytearray(M.write_pcm(bytes(64)) + wide)), (3, None), (4, bytearray(b""))]
+    df = spark.createDataFrame(rows, "id long, media binary")
+    assert [r.id for r in M.packet_table(df, "id").collect()] == [2]
