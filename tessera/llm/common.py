@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +51,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def free_prefix(columns: Iterable[str]) -> str:
+    """A beginning that no column's name has, for columns of an operator's own."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def detached(col) -> F.Column:
     return F.col(col).bitwiseXOR(F.lit(DETACH).cast("long")) if isinstance(col, str) else col.bitwiseXOR(F.lit(DETACH).cast("long"))
 

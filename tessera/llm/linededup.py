@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, detached, map_batches
+from tessera.llm.common import cut, detached, free_prefix, map_batches
 
 #: Bits of each filter, whatever the input: the broadcast filter has 16 MB at most.  With more lines than it can tell
 #: apart more of them are suspected and shuffled; results stay exact.
@@ -119,14 +119,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     docs = docs.drop("n_lines", "n_dropped")
     lost = cut(doomed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars, min_docs), "gone")
-    lost = lost.select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
+    own = free_prefix(docs.columns)
+    gone_id, gone_keys = f"{own}id", f"{own}gone"
+    lost = lost.select(F.col("doc_id").alias(gone_id), F.col("gone").alias(gone_keys))
     # Both sides grow with the input: always a sort-merge join.
-    joined = docs.join(lost.hint("merge"), F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id")
+    joined = docs.join(lost.hint("merge"), F.col("doc_id") == F.col(gone_id), "left").drop(gone_id)
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, lines, drops = [], [], []
-        for t, gone in zip(batch.column("text"), batch.column("_gone")):
+        for t, gone in zip(batch.column("text"), batch.column(gone_keys)):
             t = t.as_py()
             if not gone.is_valid:
                 texts.append(t)

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import free_prefix
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Key ranges of a source; a range holds about this share of it.
 RANGES = 4096
@@ -34,7 +36,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3)
 
     Sources in code point order, null last, take the weights in turn.  With r = cap * size / weight in rising order,
     the sources before the first whose r reaches the level of those left stop at their cap; the rest share by weight.
-    One row for each source goes through one window.
+    One row for each source goes through one window; a null source stands last, no sources give no rows.
     """
     turn = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), ((F.row_number().over(turn) - 1) % len(weights) + 1).cast("int"))
@@ -60,36 +62,40 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, range
     """
     out = ("size", "source_size", "target", "epochs", "taken", "copies")
     docs = docs.drop(*(c for c in out if c not in (id_col, text_col, source_col)))
+    own = free_prefix(docs.columns)
+    key, range_, src, no_src, sum_, before, upto, copies = (f"{own}{x}" for x in ("key", "range", "src", "no_src", "sum", "before", "upto", "copies"))
     u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 11).cast("double") + 0.5) * F.lit(2.0**-53)
-    d = docs.withColumn("size", words(F.col(text_col))).withColumn("_key", -F.log(u) / quality(F.col(text_col)))
-    d = d.withColumn("_range", F.least(F.lit(ranges - 1), F.floor(ranges * (1 - F.exp(-F.col("_key")))).cast("int")))
-    d = d.withColumn("_src", F.coalesce(F.col(source_col), F.lit(""))).withColumn("_no_src", F.col(source_col).isNull())
+    d = docs.withColumn("size", words(F.col(text_col))).withColumn(key, -F.log(u) / quality(F.col(text_col)))
+    d = d.withColumn(range_, F.least(F.lit(ranges - 1), F.floor(ranges * (1 - F.exp(-F.col(key)))).cast("int")))
+    d = d.withColumn(src, F.coalesce(F.col(source_col), F.lit(""))).withColumn(no_src, F.col(source_col).isNull())
 
-    sums = d.groupBy("_src", "_no_src", "_range").agg(F.sum("size").alias("_sum"))
-    sizes = sums.groupBy("_src", "_no_src").agg(F.sum("_sum").alias("source_size"))
-    sizes = sizes.withColumn("source", F.when(~F.col("_no_src"), F.col("_src"))).select("source", "source_size")
+    sums = d.groupBy(src, no_src, range_).agg(F.sum("size").alias(sum_))
+    sizes = sums.groupBy(src, no_src).agg(F.sum(sum_).alias("source_size"))
+    sizes = sizes.withColumn("source", F.when(~F.col(no_src), F.col(src))).select("source", "source_size")
     aim = targets(sizes, weights, cap).select(
-        F.coalesce("source", F.lit("")).alias("_src"),
-        F.col("source").isNull().alias("_no_src"),
+        F.coalesce("source", F.lit("")).alias(src),
+        F.col("source").isNull().alias(no_src),
         "source_size",
         "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
     )
-    in_source = Window.partitionBy("_src", "_no_src").orderBy("_range")
-    before = sums.withColumn("_before", F.sum("_sum").over(in_source) - F.col("_sum")).drop("_sum")
-    state = before.join(aim, ["_src", "_no_src"])
+    in_source = Window.partitionBy(src, no_src).orderBy(range_)
+    ahead = sums.withColumn(before, F.sum(sum_).over(in_source) - F.col(sum_)).drop(sum_)
+    state = ahead.join(aim, [src, no_src])
 
-    in_range = Window.partitionBy("_src", "_no_src", "_range").orderBy("_key", F.col(id_col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    m = d.join(state, ["_src", "_no_src", "_range"]).withColumn("_upto", F.col("_before") + F.sum("size").over(in_range))
+    in_range = Window.partitionBy(src, no_src, range_).orderBy(key, F.col(id_col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = d.join(state, [src, no_src, range_]).withColumn(upto, F.col(before) + F.sum("size").over(in_range))
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    nearer = (F.col("_upto") - rest < rest - (F.col("_upto") - F.col("size"))) & (F.col("size") > 0)
-    more = F.when((rest > 0) & ((F.col("_upto") <= rest) | nearer), 1).otherwise(0)
-    m = m.withColumn("_copies", F.col("epochs") + more).withColumn("taken", (F.col("size") * F.col("_copies")).cast("long"))
-    return m.select(*docs.columns, "size", "source_size", "target", "epochs", "taken", F.col("_copies").cast("int").alias("copies"))
+    nearer = (F.col(upto) - rest < rest - (F.col(upto) - F.col("size"))) & (F.col("size") > 0)
+    more = F.when((rest > 0) & ((F.col(upto) <= rest) | nearer), 1).otherwise(0)
+    m = m.withColumn(copies, F.col("epochs") + more).withColumn("taken", (F.col("size") * F.col(copies)).cast("long"))
+    return m.select(*docs.columns, "size", "source_size", "target", "epochs", "taken", F.col(copies).cast("int").alias("copies"))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken."""
+    """The mix itself: the rows of docs (doc_id, text, source and any others), each as often as mix() takes it.
+
+    Rows that repeat are taken one by one; an empty table gives an empty result."""
     whole = docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
     taken = mix(whole, **options).where("copies > 0")
     return taken.select("_row", F.explode(F.expr("sequence(1, copies)")).alias("_n")).select("_row.*")

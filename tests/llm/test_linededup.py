@@ -33,3 +33,13 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert dedup_lines(frame(spark, [])).collect() == []
+
+
+def test_own_names_of_the_operator_pass_through(spark):
+    from pyspark.sql import functions as F
+
+    df = frame(spark)
+    for name in ("_gone", "_gone_id", "__id"):
+        df = df.withColumn(name, F.lit(name))
+    got = dedup_lines(df).collect()
+    assert len(got) == len(DOCS) and all(r[n] == n for r in got for n in ("_gone", "_gone_id", "__id"))

@@ -49,3 +49,14 @@ def test_reruns_agree_and_copies_are_made(spark):
 
 def test_empty_table(spark):
     assert mix(frame(spark, [])).collect() == []
+
+
+def test_own_names_of_the_operator_pass_through(spark):
+    from pyspark.sql import functions as F
+
+    df = frame(spark, ROWS)
+    for name in ("_key", "_range", "_src", "_no_src", "_upto", "_copies", "_sum", "_before"):
+        df = df.withColumn(name, F.lit(f"KEEP{name}"))
+    for r in mix(df).collect():
+        assert all(r[n] == f"KEEP{n}" for n in r.asDict() if n.startswith("_"))
+    assert mixture(df).columns == df.columns
