@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, detached, map_batches
+from tessera.llm.common import connected_components, cut, detached, free_prefix, map_batches
 
 RADIUS = 4
 SEED = 42
@@ -153,7 +153,8 @@ def prefix_bits(n: int) -> int:
 def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between different fingerprints at the radius or less, with the same components as all of them.
 
-    distinct has one row for each fingerprint fp (long); n is their count.
+    distinct has one row for each fingerprint fp (long); n is their count.  Null fingerprints are not allowed; an empty
+    table gives an empty result.
     """
     prefix = prefix_bits(n)
     masks = _masks(prefix, radius // 2).astype(np.int64).tolist()
@@ -326,7 +327,9 @@ def duplicates(docs: DataFrame, threshold: float = SIMILARITY, width: int = 5, f
     first = cut(rows.groupBy("th").agg(F.min("doc_id").alias("node")), "texts")
     copies = rows.select("doc_id", "th", detached("th").alias("k")).join(first.select(detached("th").alias("k"), "node"), "k").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     nodes = rows.join(first.select(F.col("node").alias("doc_id"), F.col("th").alias("t")), ["doc_id"], "inner").where("th = t").drop("t").withColumnRenamed("doc_id", "node")
-    nodes = cut(nodes.dropDuplicates(["node"]), "nodes")
+    # Rows that repeat an id with other texts: the text with the smallest hash stands for them.
+    rest = [c for c in nodes.columns if c != "node"]
+    nodes = cut(nodes.groupBy("node").agg(F.min_by(F.struct(*rest), "th").alias("r")).select("node", "r.*"), "nodes")
     n = nodes.count()
     held = nodes.select("node", F.explode("groups").alias("g"))
     least = held.groupBy("g").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select(detached("g").alias("k"), "a")
@@ -410,13 +413,14 @@ def _relinked(apart: DataFrame, known: DataFrame, threshold: float) -> DataFrame
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that duplicates() names; of rows that repeat an id one stays.
-
-    Rows without an id stay.  All columns pass through."""
-    gone = cut(duplicates(docs, id_col=id_col, **options), "gone").select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
-    if not again:
-        return left
-    named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(left.where(F.col(id_col).isNull()))
+    """docs without the documents that duplicates() names.
+
+    Of rows that repeat an id one stays, that with the smallest hash of all its columns: reruns agree.  Rows without an id
+    stay.  All columns pass through, whatever their names; an empty table gives an empty result."""
+    own = free_prefix(docs.columns)
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias(f"{own}n")).where(F.col(f"{own}n") > 1).limit(1).count()
+    if again:
+        one = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(f"{own}id")).agg(F.min_by(F.struct("*"), F.xxhash64(*docs.columns)).alias(f"{own}row"))
+        docs = cut(one.select(f"{own}row.*").unionByName(docs.where(F.col(id_col).isNull())), "once")
+    gone = cut(duplicates(docs, id_col=id_col, **options), "gone").select(F.col("doc_id").alias(f"{own}gone"))
+    return docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(f"{own}gone"), "left_anti")

@@ -61,3 +61,21 @@ def test_stages(spark, folder, tmp_path):
 
 def test_run_gives_the_last_stage(spark, folder):
     assert pipeline.run(spark, folder).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_stages_with_awkward_tables(spark, folder):
+    """Extra columns with clashing names go, repeated and null rows are handled, an empty table stays empty."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    some = docs.where("doc_id < 12 or doc_id >= 300 or doc_id is null")
+    for name in ("_toxic", "score", "n_lines", "_gone", "size", "copies", "_key", "ids", "fp"):
+        some = some.withColumn(name, F.lit("x"))
+    some = some.union(some.where("doc_id = 1"))
+    empty = docs.limit(0)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, some, folder)
+        assert out.count() > 0
+        if name != "bpe":
+            assert out.columns == pipeline.COLUMNS
+        assert stage(spark, empty, folder).collect() == []

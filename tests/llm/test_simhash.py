@@ -135,3 +135,16 @@ def test_pairs_about_the_threshold_are_compared_exactly(spark):
             want.add((2 * g + 1, 2 * g))
     assert 10 < len(want) < 50
     assert {(r.doc_id, r.root) for r in duplicates(frame(spark, rows)).collect()} == want
+
+
+def test_keep_one_with_repeated_ids_and_clashing_names(spark):
+    """Rows that repeat an id with other texts: the same one stays, however the rows are dealt out."""
+    from pyspark.sql import functions as F
+
+    rows = [(i % 20, sentence(300 + i, 50), f"s{i}") for i in range(60)] + [(100 + i, sentence(300 + i, 50) + " end", "late") for i in range(60)]
+    df = frame(spark, rows).withColumn("_gone", F.lit("own")).withColumn("_n", F.lit(1))
+    pick = lambda d: sorted((r.doc_id, r.text, r.source, r._gone) for r in keep_one(d).collect())
+    got = pick(df)
+    assert got == pick(df.repartition(7)) and len({r[0] for r in got}) == len(got)
+    # The 20 texts that stay for their ids lose their copies; the other 40 texts are only in the late rows.
+    assert len(got) == 20 + 40 and all(r[3] == "own" for r in got)
