@@ -63,6 +63,26 @@ def detached(col) -> F.Column:
     return F.col(col).bitwiseXOR(F.lit(DETACH).cast("long")) if isinstance(col, str) else col.bitwiseXOR(F.lit(DETACH).cast("long"))
 
 
+#: Bits of the filter of ids that flagged() broadcasts, whatever the input (16 MB).
+ID_BITS = 1 << 27
+#: Bits of one row of it: what Spark's bitmaps hold.
+BITMAP = 1 << 15
+
+
+def flagged(df: DataFrame, key: str, ids: DataFrame, id_col: str, flag: str) -> DataFrame:
+    """df with the column flag: false where key is surely none of ids, true where it may be.
+
+    One bit for each id in a filter of a fixed size, so that rows which need no join aren't shuffled for it; with more
+    ids than it can tell apart more rows are flagged, and all are in the end."""
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BITS))
+    own = free_prefix([*df.columns, flag])
+    at, row, bits = f"{own}at", f"{own}row", f"{own}bits"
+    marks = ids.select(spot(id_col).alias(at)).groupBy(F.floor(F.col(at) / BITMAP).alias(row)).agg(F.bitmap_construct_agg((F.col(at) % BITMAP).cast("long")).alias(bits))
+    held = df.withColumn(at, spot(key)).join(F.broadcast(marks.withColumnRenamed(row, f"{row}_")), F.floor(F.col(at) / BITMAP) == F.col(f"{row}_"), "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.col(at) % BITMAP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return held.withColumn(flag, F.coalesce(F.call_function("getbit", byte.cast("long"), (F.col(at) % 8).cast("int")) == 1, F.lit(False))).drop(at, bits, f"{row}_")
+
+
 def _minima(pairs: DataFrame) -> DataFrame:
     """pairs(u, v) with m, the smallest of u and its neighbours v.  Hot u's are pre-aggregated, then split by the join."""
     low = pairs.groupBy("u").agg(F.min("v").alias("m")).select(detached("u").alias("k"), F.least("u", "m").alias("m"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, detached, free_prefix, map_batches
+from tessera.llm.common import connected_components, cut, detached, flagged, free_prefix, map_batches
 
 RADIUS = 4
 SEED = 42
@@ -280,7 +280,8 @@ def _runs(docs: DataFrame, nodes: DataFrame, ids: DataFrame, width: int) -> Data
         return pa.record_batch([batch.column("node"), pa.array(th), pa.array([np.unique(run_hashes(t, width)).tobytes() for t in texts], pa.binary())], names=["node", "th", "runs"])
 
     ids = cut(ids.distinct(), "ids")
-    texts = docs.withColumnRenamed("doc_id", "node").join(ids.hint("merge"), "node", "left_semi")
+    texts = flagged(docs.withColumnRenamed("doc_id", "node"), "node", ids, "node", "wanted").where("wanted").drop("wanted")
+    texts = texts.join(ids.hint("merge"), "node", "left_semi")
     found = map_batches(texts, run, "node long, th long, runs binary").join(nodes.select("node", "th").join(ids, "node", "left_semi"), ["node", "th"], "left_semi")
     return cut(found.select(detached("node").alias("k"), "runs").dropDuplicates(["k"]), "runs")
 
@@ -423,4 +424,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
         one = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(f"{own}id")).agg(F.min_by(F.struct("*"), F.xxhash64(*docs.columns)).alias(f"{own}row"))
         docs = cut(one.select(f"{own}row.*").unionByName(docs.where(F.col(id_col).isNull())), "once")
     gone = cut(duplicates(docs, id_col=id_col, **options), "gone").select(F.col("doc_id").alias(f"{own}gone"))
-    return docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(f"{own}gone"), "left_anti")
+    # Only rows that may be among them are shuffled to be told for sure.
+    doubt = flagged(docs, id_col, gone, f"{own}gone", f"{own}doubt")
+    asked = doubt.where(F.col(f"{own}doubt")).join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(f"{own}gone"), "left_anti")
+    return doubt.where(~F.col(f"{own}doubt")).union(asked).drop(f"{own}doubt")

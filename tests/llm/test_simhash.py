@@ -148,3 +148,14 @@ def test_keep_one_with_repeated_ids_and_clashing_names(spark):
     assert got == pick(df.repartition(7)) and len({r[0] for r in got}) == len(got)
     # The 20 texts that stay for their ids lose their copies; the other 40 texts are only in the late rows.
     assert len(got) == 20 + 40 and all(r[3] == "own" for r in got)
+
+
+def test_flagged_never_misses(spark):
+    from tessera.llm.common import flagged
+
+    df = spark.range(0, 5000).selectExpr("id", "'x' as _at").union(spark.createDataFrame([(None, "n")], "id long, _at string"))
+    ids = spark.range(0, 5000, 7).withColumnRenamed("id", "i")
+    rows = flagged(df, "id", ids, "i", "may").collect()
+    assert len(rows) == 5001 and rows[0]._at == "x"
+    assert all(r.may for r in rows if r.id is not None and r.id % 7 == 0) and sum(r.may for r in rows) < 800
+    assert not any(r.may for r in flagged(df, "id", ids.limit(0), "i", "may").collect())
