@@ -62,16 +62,29 @@ def host(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(c, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/?#:]+)", 1)), r"^www\.", "")
 
 
-def storage_path(c: Column, most: int = 80) -> Column:
-    """A path for a page: host and parts, long parts cut and marked with their hash."""
-    parts = F.split(F.regexp_replace(c, "^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), "/")
-    return F.array_join(F.transform(parts, lambda p: F.when(F.length(p) > most, F.concat(F.substring(p, 1, most), F.lit("_"), F.substring(F.md5(p), 1, 8))).otherwise(p)), "/")
-
-
-def unique_probability(p1: Column, p2: Column, n: Column, second_matches: Column) -> Column:
-    """That a pair of names with these frequencies is one person's among n: none other in a Poisson number."""
-    lam = n * p1 * p2
-    return F.when(lam.isNull(), None).when(second_matches, F.exp(-lam / 10)).when(n < 100, F.pow(1 - p1 * p2, n)).otherwise(F.exp(-lam))
+#: Fixed values of stored paths: bytes a segment may have, digits of its hash, and characters kept free for both.
+SEGMENT_BYTES, HASH_DIGITS, MARGIN = 200, 10, 12
+
+
+def storage_path(url: Column, day: Column, suffix: Column | None = None) -> Column:
+    """hostname=.../path/date=...[/suffix] of a page; index for the root.  A segment of too many bytes is cut and ends in
+    a part of its hash, so that no file name grows too long."""
+    path = F.regexp_replace(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "^/+|/+$", "")
+    base = [F.concat(F.lit("hostname="), host(url)), F.when(path == "", F.lit("index")).otherwise(path), F.concat(F.lit("date="), day)]
+    whole = F.concat_ws("/", *base, *([suffix] if suffix is not None else []))
+    short = lambda p: F.concat(F.substring(p, 1, SEGMENT_BYTES - MARGIN), F.lit("_"), F.substring(F.md5(p.cast("binary")), 1, HASH_DIGITS))
+    parts = F.filter(F.split(whole, "/"), lambda p: p != "")
+    return F.array_join(F.transform(parts, lambda p: F.when(F.octet_length(p) > SEGMENT_BYTES, short(p)).otherwise(p)), "/")
+
+
+def unique_probability(p1: Column, p2: Column, second_matches: Column, n: Column) -> Column:
+    """That no other bearer of the last name matches by chance: p1 and p2 are the shares of the first and the second name
+    (unknown, or a second name that doesn't match: 1), n the region's bearers (unknown: 50,000), of whom one in 40
+    counts.  Few bearers: the power itself; many: its Poisson limit; 0 where the names tell nothing."""
+    known = lambda c: F.coalesce(F.nanvl(c, F.lit(1.0)), F.lit(1.0))
+    p = known(p1) * F.when(F.coalesce(second_matches, F.lit(False)), known(p2)).otherwise(F.lit(1.0))
+    bearers = F.coalesce(n.cast("double"), F.lit(50000.0)) / 40
+    return F.when(p == 1, F.lit(0.0)).when(bearers < 50, F.pow(1 - p, bearers)).otherwise(F.exp(-bearers * p))
 
 
 def odds(x: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,8 +36,35 @@ def map_diff(df: DataFrame, old: str, new: str) -> DataFrame:
 
 def occurrence_match(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], order_in: str, order_st: str) -> DataFrame:
     """The n-th incoming row of an identity takes the n-th stored one; each stored row is claimed once."""
-    from pyspark.sql import Window
-
     a = incoming.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order_in)))
     b = stored.select(*keys, F.col(order_st).alias("stored")).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("stored")))
     return a.join(b, [*keys, "_n"], "left").drop("_n")
+
+
+#: Ranges that ordered sums are dealt out over; their bounds are literals of the plan.
+RANGES = 64
+
+
+def _ranged(df: DataFrame, order: Column, own: str) -> DataFrame:
+    """df with own, the number of the range that order falls in; bounds are percentiles, one number for each range."""
+    at = [i / RANGES for i in range(1, RANGES)]
+    bounds = sorted(set(df.agg(F.percentile_approx(order, F.array(*map(F.lit, at)), F.lit(1000)).alias("b")).first().b or []))
+    if not bounds:
+        return df.withColumn(own, F.lit(0))
+    return df.withColumn(own, F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < order)), F.lit(0)))
+
+
+def running_sum(df: DataFrame, order: str, value: str, name: str, ties: Sequence[str] = ()) -> DataFrame:
+    """df with name, the sum of value over the rows up to each one by the number order (then ties).
+
+    No window holds all rows: each range is summed in a task of its own, on top of the sums of the ranges before."""
+    rows = _ranged(df, F.col(order), "_range")
+    sums = rows.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    within = F.sum(value).over(Window.partitionBy("_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + within).drop("_range", "_before")
+
+
+def numbered(df: DataFrame, order: str, name: str, ties: Sequence[str] = ()) -> DataFrame:
+    """df with name, each row's place from 1 by the number order (then ties), without a window over all rows."""
+    return running_sum(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", name, ties).drop("_one")

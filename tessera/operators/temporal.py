@@ -63,12 +63,19 @@ def islands(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFra
 
 
 def covered_days(intervals: DataFrame, days: DataFrame, start: str, end: str, day: str) -> DataFrame:
-    """intervals with covered: every day from start to end is in days.  Counts distinct days up to each day, so that an
-    interval needs two look-ups instead of a row for each of its days."""
-    runs = days.select(day).distinct().withColumn("_run", F.date_sub(F.col(day), F.row_number().over(Window.orderBy(day))))
-    runs = runs.groupBy("_run").agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
-    hit = intervals.join(F.broadcast(runs), (F.col(start) >= F.col("_lo")) & (F.col(end) <= F.col("_hi")), "left")
-    return hit.withColumn("covered", F.col("_lo").isNotNull()).drop("_run", "_lo", "_hi")
+    """intervals with covered: every day from start to end is in days.
+
+    Distinct days are counted up to each one in yearly parts, so that an interval needs two look-ups by the day, joins on
+    equal keys, instead of a row for each of its days: the count up to its end less that before its start must be its
+    length.  A day that isn't in days has no count, and its interval isn't covered."""
+    known = days.select(F.col(day).alias("_d")).where("_d is not null").distinct().withColumn("_y", F.year("_d"))
+    years = known.groupBy("_y").agg(F.count("*").alias("_n"))  # one row for each year
+    before = years.select("_y", (F.sum("_n").over(Window.orderBy("_y")) - F.col("_n")).alias("_before"))
+    upto = known.join(F.broadcast(before), "_y").select("_d", (F.col("_before") + F.row_number().over(Window.partitionBy("_y").orderBy("_d"))).alias("_upto"))
+    lo, hi = (upto.select(F.col("_d").alias(f"_{s}"), F.col("_upto").alias(f"_{s}_upto")) for s in ("lo", "hi"))
+    hit = intervals.join(lo, F.col(start) == F.col("_lo"), "left").join(hi, F.col(end) == F.col("_hi"), "left")
+    whole = F.col("_hi_upto") - F.col("_lo_upto") == F.datediff(end, start)
+    return hit.withColumn("covered", F.coalesce(whole, F.lit(False))).drop("_lo", "_lo_upto", "_hi", "_hi_upto")
 
 
 def misses_in_a_row(df: DataFrame, key: str, order: str, ok: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import sets
 from tessera.plans.registry import both, query
 from tessera.sources import files
 
@@ -126,9 +127,8 @@ def s12(t):
 
 @query("s13_paged_urls", lambda e: "select page_id, url, cast(floor((row_number() over (order by page_id) - 1) / 500) as bigint) as page from pages")
 def s13(t):
-    from pyspark.sql import Window
-
-    return t["pages"].select("page_id", "url", F.floor((F.row_number().over(Window.orderBy("page_id")) - 1) / 500).alias("page"))
+    rows = sets.numbered(t["pages"].select("page_id", "url"), "page_id", "at")
+    return rows.select("page_id", "url", F.floor((F.col("at") - 1) / 500).alias("page"))
 
 
 both("s14_document_query", lambda e: "select id, name from nodes where kind in ('person', 'place') and published and score > 0 order by score desc, id limit 25")

@@ -27,6 +27,8 @@ VIEWS = {
         cast(year(o_orderdate) as int) as election_year, o_orderpriority as committee, case o_orderstatus when 'O' then 'local' when 'F' then 'national' else 'regional' end as election_type,
         p.code2 as code2, p.code4 as code4, o_totalprice as votes
         from orders join customer on o_custkey = c_custkey join place_codes p on c_nationkey = p.place""",
+    # contests a candidate stood in, some known only down to the region
+    "contests": lambda e: "select person, election_year, election_type, case when cand % 4 = 0 then code2 when cand % 9 = 0 then '99' || code2 else code4 end as code from candidates",
     # encyclopedia people
     "wiki_people": lambda e: """select p_partkey as id, 'First' || cast(p_partkey % 37 as string) || ' Last' || cast(p_partkey % 211 as string) || case when p_partkey % 5 = 0 then ' (politician)' else '' end as full_name,
         cast(1940 + p_partkey % 50 as int) as birth_year,
@@ -50,7 +52,7 @@ VIEWS = {
         union all select 'c' || cast(s_suppkey as string), 'place', s_name, s_suppkey % 6 <> 0, false, cast(null as string), s_acctbal from supplier
         union all select 'r' || cast(n_nationkey as string), 'region', n_name, true, false, cast(null as string), cast(0 as double) from nation""",
     "edges": lambda e: """select 'e' || cast(person as string) || '_' || cast(company as string) as id, 'p' || cast(person as string) as source, 'c' || cast(company as string) as target, 'employed' as kind,
-        start_date, end_date, (person + company) % 4 <> 0 as published, n_lines from posts where person % 10 = 0
+        start_date, end_date, (person + company) % 4 <> 0 as published, n_lines from posts
         union all select 'o' || cast(s_suppkey as string), 'r' || cast(s_nationkey as string), 'c' || cast(s_suppkey as string), 'owns', cast(null as date), cast(null as date), true, cast(1 as bigint) from supplier""",
     # snapshots of a user's state, and scrapes and updates by day
     "snapshots": lambda e: "select user_id as krs, cast(ts as date) as day, max(event_id) as number, count(*) as n_people, cast(sum(event_id % 2) as bigint) as state from events group by user_id, cast(ts as date)",

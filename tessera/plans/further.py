@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import functions as F
 
+from tessera.functions import pages, register
+from tessera.operators import sets
 from tessera.plans.registry import both, query
 
 both("y2_additive_merge", lambda e: f"""select a.id, {e.text(e.union(e.filter(e.array('a.party'), 'x', 'x is not null'), e.filter(e.array("case when b.score > 0 then 'rich' end"), 'x', 'x is not null')))} as parties, coalesce(b.name, a.name) as name, b.score > 0 or a.party is null as changed
@@ -14,14 +13,38 @@ both("y2_additive_merge", lambda e: f"""select a.id, {e.text(e.union(e.filter(e.
 both("y3_precedence_merge", lambda e: "select company, case when company % 5 = 0 then is_public else activity = '84.11' end as is_public, case when company % 5 = 0 then 'manual' else 'scraped' end as origin from companies")
 both("y4_region_by_code", lambda e: "select c.company, coalesce(a.id, b.id) as region from companies c left join region_nodes a on a.id = substring(c.code4 || lpad(cast(c.company as string), 3, '0'), 1, 4) left join region_nodes b on b.id = c.code2")
 both("y5_idempotent_insert", lambda e: "select distinct substring(md5(source || target), 1, 12) as id from edges where n_lines > 1 and substring(md5(source || target), 1, 12) not in (select substring(md5(source || target), 1, 12) from edges where published)")
-both("y6_facts_on_articles", lambda e: f"select f.event_id, a.article from (select event_id, 'page' || cast(event_id % 300 as string) as u from events) f left join (select article, 'page' || cast(article as string) as u from articles) a on a.u = f.u")
+_SENT = """select page_id, case when page_id % 5 = 0 then 'https://unknown.example/' || cast(page_id as string) else replace(url, '://', '://WWW.') || case when url like '%?%' or url like '%#%' then '' else '//' end end as url from pages"""
+
+
+@query("y6_facts_on_articles", lambda e: """select p.page_id, i.n as seq, case i.n when 0 then 'employment' else 'party_membership' end as fact_type, case i.n when 0 then 'Person ' || p.page_id end as person, case i.n when 1 then 'Party' end as party,
+    case when p.page_id % 5 <> 0 then a.article end as article, false as human_voted from pages p join (values (0), (1)) as i(n) on i.n < p.page_id % 3
+    left join (select url, max(page_id) as article from pages group by url) a on a.url = p.url""")
+def y6(t):
+    """Facts sent with articles, one row each, on the stored article of the same address (normalised on both sides)."""
+    from tessera.functions import ids
+
+    n = F.col("page_id") % 3
+    fact = lambda kind, **own: F.struct(F.lit(kind).alias("fact_type"), *(own.get(k, F.lit(None)).cast("string").alias(k) for k in ("person", "party")))
+    facts = F.slice(F.array(fact("employment", person=F.concat(F.lit("Person "), F.col("page_id").cast("string"))), fact("party_membership", party=F.lit("Party"))), F.lit(1), n.cast("int"))
+    sent = t.sql(_SENT).select("page_id", "url", F.to_json(F.struct(facts.alias("extracted_facts"))).alias("body"))
+    rows = sent.select("page_id", ids.normal_url(F.col("url")).alias("u"), F.posexplode(F.from_json("body", "extracted_facts array<struct<fact_type:string,person:string,party:string>>").getField("extracted_facts")).alias("seq", "f"))
+    stored = t["articles"].select(ids.normal_url(F.col("url")).alias("u"), "article").groupBy("u").agg(F.max("article").alias("article"))
+    return rows.join(stored, "u", "left").select("page_id", "seq", "f.fact_type", "f.person", "f.party", "article", F.lit(False).alias("human_voted"))
+
+
 both("y7_rule_table", lambda e: "select cand from candidates c where exists (select 1 from (select 'local' as kind, cast(null as int) as y union all select 'national', 1999) r where r.kind = c.election_type and (r.y is null or r.y = c.election_year))")
-both("y8_pending_page", lambda e: "select p.rev, p.total, n.name from (select rev, node, event_type, count(*) over () as total, row_number() over (order by rev) as rn from revisions where not approved) p left join nodes n on n.id = 'p' || cast(p.node as string) where rn between 21 and 60 and event_type <> 'view'")
+both("y8_pending_page", lambda e: """with pending as (select rev, 'o' || cast(node as string) as edge, rev % 2 = 0 as published, rev % 3 as n_lines, 'owns' as kind, value from revisions where not approved),
+    page as (select * from pending order by value desc, rev limit 200 offset 20),
+    fields as (select p.rev, p.edge, x.source, x.target, 'published' as field, cast(x.published as string) as old, cast(p.published as string) as new from page p join edges x on x.id = p.edge
+        union all select p.rev, p.edge, x.source, x.target, 'n_lines', cast(x.n_lines as string), cast(p.n_lines as string) from page p join edges x on x.id = p.edge
+        union all select p.rev, p.edge, x.source, x.target, 'kind', x.kind, p.kind from page p join edges x on x.id = p.edge)
+    select f.rev, f.edge, a.name as source_name, a.kind as source_kind, b.name as target_name, b.kind as target_kind, f.field, f.old, f.new, t.total from fields f cross join (select count(*) as total from pending) t
+    left join nodes a on a.id = f.source left join nodes b on b.id = f.target where f.old is distinct from f.new""")
 both("y9_region_people_split", lambda e: "select p.code2, case when x.person is null then 'never' when x.open then 'current' else 'past' end as state, case when c_mktsegment in ('BUILDING', 'MACHINERY') then c_mktsegment else 'other' end as party, count(*) as n from customer join place_codes p on c_nationkey = p.place left join (select person, bool_or(end_date is null) as open from posts group by person) x on x.person = c_custkey group by 1, 2, 3")
 both("y10_person_row", lambda e: f"select r.id, {e.text(e.sorted('array_agg(distinct ' + e.struct(year='c.election_year', code='c.code4') + ')'), "cast(z.year as string) || ':' || z.code")} as elections from register_people r join candidates c on c.person = r.id group by r.id")
 both("y11_location_merge", lambda e: f"select coalesce(code, name) as place, {e.text(e.set('kind'))} as kinds, count(*) as n from (select code4 as code, lower(place_name) as name, 'home' as kind from place_codes union all select case when company % 2 = 0 then code4 end, lower(city), 'work' from companies) x group by coalesce(code, name)")
 both("y12_published_invariant", lambda e: "select count(*) filter (where x.published and not (a.published and not a.deleted and b.published and not b.deleted)) as broken, count(*) filter (where not x.published and a.published and not a.deleted and b.published and not b.deleted) as ready from edges x left join nodes a on x.source = a.id left join nodes b on x.target = b.id")
-both("y13_calendar_gap", lambda e: f"select x as day from (select min(day) as lo, max(day) as hi from updates) r {e.unnest(e.days_seq('lo', 'hi'))} where x not in (select day from updates where krs < 10)")
+both("y13_calendar_gap", lambda e: f"select x as day from (select min(day) as lo, max(day) as hi from updates) r {e.unnest(e.days_seq('lo', 'hi'))} where x not in (select day from updates group by day having count(*) >= (select count(*) * 1.0 / count(distinct day) from updates))")
 both("y14_change_report", lambda e: f"""select method, count(*) as n, round(avg(d), 4) as mean_days, cast(median(d) as double) as median_days, min(d) as least, max(d) as most, count(*) filter (where d > 3) as late from
     (select s.krs, s.method, {e.days('s.day', 's.next_day')} as d from (select krs, method, day, lead(day) over (partition by krs order by day) as next_day from scrapes) s where s.next_day is not null) x group by method""")
 both("y15_success_by_delay", lambda e: f"select d, count(*) as n, count(*) filter (where hit) as ok, round(cast(count(*) filter (where hit) as double) / count(*), 6) as rate from (select {e.days('u.day', 's.day')} as d, s.n_people % 2 = 0 as hit from updates u join snapshots s on u.krs = s.krs and s.day >= u.day) x where d <= 10 group by d")
@@ -33,42 +56,89 @@ both("y19_registry_upsert", lambda e: f"select krs, {e.text(e.set('source'))} as
 both("y20_first_non_empty", lambda e: f"select krs, min_by(name, rank) as name, {e.text(e.set('parent'))} as parents from (select c.krs, 1 as rank, nullif(case when c.company % 2 = 0 then '' else c.company_name end, '') as name, o.parent from companies c left join owners o on o.child = c.company union all select krs, 2, company_name || ' (register)', null from companies) x where name is not null group by krs")
 both("y21_null_drop", lambda e: f"select id, {e.size(e.filter(e.array('first_name', 'second_name', 'last_name', 'birth_date'), 'x', 'x is not null'))} as kept from register_people")
 both("y22_window_top", lambda e: "select user_id, count(*) as n from events where ts >= timestamp '2024-01-20 00:00:00' group by user_id order by n desc, user_id limit 10")
-both("y24_truncated_answers", lambda e: "select event_id, case when value > 200 then 'error' else 'ok' end as status, value <= 200 as cacheable from events")
-both("f20_fact_lines", lambda e: f"""select event_id, {e.rx_group('line', '^- [*][*]([^*]+)[*][*]', 1)} as subject, trim({e.rx_group('line', ': (.*)$', 1)}) as fact from (select event_id, '- **user ' || cast(user_id as string) || '**: ' || event_type as line from events) x""")
-
-
-@query("y23_page_analysis", lambda e: "select page_id, length(html) > 3000 as long, case when length(html) % 2 = 0 then 'even' else 'odd' end as verdict from pages")
+@query("y24_truncated_answers", lambda e: """select event_id, case when value > 200 or event_id % 10 = 3 then 'error' else 'ok' end as status, case when value > 200 then 'truncated' when event_id % 10 = 3 then 'unreadable' end as error,
+    value <= 200 and event_id % 10 <> 3 as cached, case when value > 200 or event_id % 10 = 3 then 0 else event_id % 3 end as facts from events""")
+def y24(t):
+    """Answers to rows: one that ran out of budget is a prefix that may still parse, so it is an error and isn't kept for
+    reuse; an unreadable one too; any other gives its facts."""
+    n = (F.col("event_id") % 3).cast("int")
+    body = F.to_json(F.struct(F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), n).alias("facts")))
+    asked = t["events"].select("event_id", (F.col("value") > 200).alias("cut"), F.when(F.col("event_id") % 10 == 3, F.lit("no facts, sorry {")).otherwise(body).alias("answer"))
+    facts = F.from_json("answer", "facts array<string>").getField("facts")
+    error = F.when(F.col("cut"), "truncated").when(facts.isNull(), "unreadable")
+    return asked.select("event_id", F.when(error.isNull(), "ok").otherwise("error").alias("status"), error.alias("error"), error.isNull().alias("cached"), F.when(error.isNull(), F.size(facts)).otherwise(0).cast("long").alias("facts"))
+
+
+@query("f20_fact_lines", lambda e: """select event_id, 'employment' as fact_type, 'User ' || user_id as who, 'Org' as what from events where event_id % 4 in (0, 1) union all select event_id, 'party_membership', 'User ' || user_id, 'Party' from events where event_id % 4 <> 2
+    union all select event_id, 'personal_relation', 'A', 'B' from events where event_id % 4 = 3""")
+def f20(t):
+    """Facts of a model's lines, typed: what lacks a value, and candidacies that pass for employment, go."""
+    u = F.concat(F.lit("User "), F.col("user_id").cast("string"))
+    k = F.col("event_id") % 4
+    lines = F.concat_ws(
+        "\n",
+        F.lit("Facts:"),
+        F.when(k == 2, F.concat(F.lit("- employment | person="), u, F.lit(" | organization=KWW Org | role=x"))).otherwise(F.concat(F.lit('- Employment | person="'), u, F.lit('" | organization='), F.when(k == 3, F.lit("")).otherwise(F.lit("Org")), F.lit(" | role='boss'"))),
+        F.when(k != 2, F.concat(F.lit("* party_membership | Person = "), u, F.lit(" | party=None | party=Party"))),
+        F.when(k == 3, F.lit("personal_relation | subject=A | object=B | relation=x=y")),
+        F.lit("- gossip | person=Z | organization=Q"),
+    )
+    rows = t["events"].select("event_id", F.explode(register.fact_lines(lines)).alias("f"))
+    pick = lambda *ks: F.coalesce(*(F.element_at("f", F.lit(k)) for k in ks))
+    return rows.select("event_id", pick("fact_type").alias("fact_type"), pick("person", "subject").alias("who"), pick("organization", "party", "object").alias("what"))
+
+
+
+@query("y23_page_analysis", lambda e: """select page_id, case page_id % 4 when 0 then 'Title ' || page_id when 1 then 'Title ' || page_id || ' & more' when 2 then 'Site ' || page_id end as title, page_id % 4 <> 3 as dated,
+    case page_id % 5 when 0 then 'selector' when 1 then 'selector' else 'fallback:body' end as method, 3 as links, page_id % 5 < 2 as worth from pages""")
 def y23(t):
-    def analysed(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"page_id": pdf["page_id"], "long": pdf["html"].str.len() > 3000, "verdict": ["even" if n % 2 == 0 else "odd" for n in pdf["html"].str.len()]})
+    """One page's way from capture to verdict: metadata, content by selector or ladder, links, score of what was found."""
+    from tessera.plans.scalars import _CAPTURED
 
-    return t["pages"].select("page_id", "html").mapInPandas(analysed, "page_id long, long boolean, verdict string")
+    captured = t.sql(_CAPTURED)
+    given = captured.select("page_id", "html", F.when(F.col("page_id") % 5 == 0, "article.entry").when(F.col("page_id") % 5 == 1, "main > div.post-body").alias("selector"))
+    read = pages.read_pages(given, selector="selector")
+    found = read.join(pages.page_links(captured.select("page_id", "html", "url")), "page_id")
+    worth = (F.col("status") == "ok") & (F.col("method") != "fallback:body")
+    return found.select("page_id", "title", F.col("day").isNotNull().alias("dated"), "method", F.size("links").alias("links"), worth.alias("worth"))
 
 
-@query("a38_running_distribution", lambda e: "select c_custkey as id, round(sum(p) over (order by c_custkey rows unbounded preceding), 6) as expected from (select c_custkey, 1.0e0 / (2 + c_custkey % 9) as p from customer where c_custkey < 200) x")
+@query("a38_running_distribution", lambda e: "select c_custkey as id, round(sum(p) over (order by c_custkey rows unbounded preceding), 6) as expected from (select c_custkey, 1.0e0 / (2 + c_custkey % 9) as p from customer) x")
 def a38(t):
-    """Expected errors after each row, as the mean of the running Poisson-binomial distribution."""
+    """Expected errors after each row.
+
+    The running Poisson-binomial distribution's mean is the sum of the probabilities: rows are dealt out by ranges of
+    ids, summed within each, and the sums of the ranges before are added."""
+    rows = t["customer"].select(F.col("c_custkey").alias("id"), (1.0 / (2 + F.col("c_custkey") % 9)).alias("p"))
+    return sets.running_sum(rows, "id", "p", "expected").select("id", F.round("expected", 6).alias("expected"))
 
-    def run(pdf):
-        dist, out = [1.0], []
-        for p in pdf.sort_values("id")["p"]:
-            dist = [(dist[k] if k < len(dist) else 0.0) * (1 - p) + (dist[k - 1] * p if k else 0.0) for k in range(len(dist) + 1)]
-            out.append(round(math.fsum(k * x for k, x in enumerate(dist)), 6))
-        return pd.DataFrame({"id": pdf.sort_values("id")["id"], "expected": out})
 
-    rows = t["customer"].where("c_custkey < 200").select(F.lit(1).alias("g"), F.col("c_custkey").alias("id"), (1.0 / (2 + F.col("c_custkey") % 9)).alias("p"))
-    return rows.groupBy("g").applyInPandas(run, "id long, expected double")
+#: People that the register shows under stars, and those that a plain source names: a name is known by its first letter
+#: and length.  A censored surname of two parts may stand for both with a hyphen, both run together, or the first alone; a
+#: plain one for itself and for its part before the hyphen.
+_CENSORED = """select id, place, lower(substring(first_name, 1, 1)) as gi, length(first_name) as gl, lower(substring(last_name, 1, 1)) as si, length(last_name) as one, case when id % 3 = 0 then 1 + id % 4 else 0 end as two from register_people"""
+_PLAIN = """select c_custkey as id, c_nationkey as place, 'First' || cast(c_custkey % 37 as string) as given, 'Last' || cast(c_custkey % 211 as string) || case when c_custkey % 4 = 0 then '-' || substring('Nowak', 1, cast(1 + c_custkey % 5 as int)) else '' end as surname from customer where c_custkey % 5 <> 0"""
 
 
-@query("j27_censored_names", lambda e: """with api as (select id, substring(first_name, 1, 1) || cast(length(first_name) as varchar) || ' ' || substring(last_name, 1, 1) || cast(length(last_name) as varchar) as sig from register_people where id % 3 = 0),
-    reg as (select distinct substring(first_name, 1, 1) || cast(length(first_name) as varchar) || ' ' || substring(last_name, 1, 1) || cast(length(last_name) as varchar) as sig from candidates where person % 2 = 0 and person < 12)
-    select id, 'missing' as what from api where sig not in (select sig from reg)""")
+@query("j27_censored_names", lambda e: f"""with c as ({_CENSORED}), p as ({_PLAIN}),
+    wanted as (select id, place, gi, gl, si, one as sl from c union select id, place, gi, gl, si, one + two + 1 from c where two > 0 union select id, place, gi, gl, si, one + two from c where two > 0),
+    held as (select id, place, lower(substring(given, 1, 1)) as gi, length(given) as gl, lower(substring(surname, 1, 1)) as si, length(surname) as sl from p
+        union select id, place, lower(substring(given, 1, 1)), length(given), lower(substring(surname, 1, 1)), instr(surname, '-') - 1 from p where instr(surname, '-') > 0)
+    select id, 'missing' as what from c where id not in (select w.id from wanted w join held h on w.place = h.place and w.gi = h.gi and w.gl = h.gl and w.si = h.si and w.sl = h.sl)
+    union all select id, 'phantom' from p where id not in (select h.id from wanted w join held h on w.place = h.place and w.gi = h.gi and w.gl = h.gl and w.si = h.si and w.sl = h.sl)""")
 def j27(t):
-    sig = lambda c: F.concat(F.substring(c, 1, 1), F.length(c).cast("string"))
-    api = t["register_people"].where("id % 3 = 0").select("id", F.concat_ws(" ", sig(F.col("first_name")), sig(F.col("last_name"))).alias("sig"))
-    reg = t["candidates"].where("person % 2 = 0 and person < 12").select(F.concat_ws(" ", sig(F.col("first_name")), sig(F.col("last_name"))).alias("sig")).distinct()
-    return api.join(reg, "sig", "left_anti").select("id", F.lit("missing").alias("what"))
+    """Both sides: people the register lists that the plain source doesn't name, and people it names that the register
+    doesn't list.  Each side's signatures are exploded, so that either question is one anti join on equal keys."""
+    c, p = t.sql(_CENSORED), t.sql(_PLAIN)
+    key = ["place", "gi", "gl", "si", "sl"]
+    lengths = F.when(F.col("two") > 0, F.array(F.col("one"), F.col("one") + F.col("two") + 1, F.col("one") + F.col("two"))).otherwise(F.array("one"))
+    wanted = c.select("id", "place", "gi", "gl", "si", F.explode(lengths).alias("sl"))
+    head = F.instr("surname", "-") - 1
+    ends = F.when(head > 0, F.array(F.length("surname"), head)).otherwise(F.array(F.length("surname")))
+    held = p.select("id", "place", F.lower(F.substring("given", 1, 1)).alias("gi"), F.length("given").alias("gl"), F.lower(F.substring("surname", 1, 1)).alias("si"), F.explode(ends).alias("sl"))
+    missing = c.join(wanted.join(held.select(*key).distinct(), key, "left_semi").select("id"), "id", "left_anti").select("id", F.lit("missing").alias("what"))
+    phantom = p.join(held.join(wanted.select(*key).distinct(), key, "left_semi").select("id"), "id", "left_anti").select("id", F.lit("phantom").alias("what"))
+    return missing.union(phantom)
 
 
 @query("f19_entity_runs")

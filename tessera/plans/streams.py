@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.plans.registry import both, query
+from tessera.plans.registry import query
 from tessera.sources.files import scratch
 from tessera.streaming import recompute
 
@@ -33,7 +33,15 @@ def r2(t):
     return recompute.token_bucket(t["events"], "user_id", "ts", 1 / 7200, 3.0, "event_id")
 
 
-both("r3_lease_retry", lambda e: "select id, case when done then 'done' when retries >= 3 then 'failed' when ts < timestamp '2024-01-15 00:00:00' then 'expired' else 'leased' end as state from queue")
+_QUEUE = """select id, host, priority, retries, case when done then 'done' when id % 3 = 0 then 'leased' else 'pending' end as state, case when not done and id % 3 = 0 then ts end as leased_at from queue"""
+
+
+@query("r3_lease_retry", lambda e: f"""with q as ({_QUEUE}), late as (select *, state = 'leased' and leased_at < timestamp '2024-01-15 00:00:00' as expired from q),
+    back as (select id, host, priority, case when expired and retries + 1 >= 3 then 'failed' when expired then 'pending' else state end as state, case when expired then retries + 1 else retries end as retries, case when not expired then leased_at end as leased_at from late),
+    won as (select id from back where state = 'pending' order by priority, id limit 25)
+    select id, case when id in (select id from won) then 'leased' else state end as state, retries, case when id in (select id from won) then timestamp '2024-01-20 00:00:00' else leased_at end as leased_at from back""")
+def r3(t):
+    return recompute.claim(t.sql(_QUEUE), "2024-01-20 00:00:00", "2024-01-15 00:00:00", 25).select("id", "state", "retries", "leased_at")
 
 
 @query("r4_micro_batches", lambda e: "select count(*) as n, count(distinct event_id) as distinct_n from events")
@@ -60,7 +68,14 @@ def r6(t):
     return recompute.bounded_calls(asked, call, "q", "answer").select("p_partkey", "answer")
 
 
-both("r7_daily_export", lambda e: "select cast(ts as date) as day, count(*) as rows, min(event_id) as first_id, max(event_id) as last_id from events group by cast(ts as date)")
+@query("r7_daily_export", lambda e: "select cast(ts as date) as day, count(*) as rows, min(event_id) as first_id, max(event_id) as last_id from events group by cast(ts as date)")
+def r7(t):
+    """A folder for each day, as an export leaves them, read back."""
+    path = scratch(t.spark, "r7")
+    t["events"].select("event_id", F.to_date("ts").alias("day")).repartition("day").write.partitionBy("day").option("compression", "zstd").parquet(path)
+    back = t.spark.read.schema("event_id long, day date").parquet(path)
+    return back.groupBy("day").agg(F.count("*").alias("rows"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
 
 
 @query("x1_tumbling", lambda e: "select cast(floor(epoch(ts) / 3600) as bigint) as hour, event_type, count(*) as n from events group by 1, 2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import sets, temporal
@@ -34,23 +35,32 @@ def j18(t):
     return temporal.interval_has_event(spans, t["updates"], "krs", "day", "until", "day").select("krs", "day", "hit")
 
 
-@query("j19_interval_coverage", lambda e: f"""with spans as (select krs, day as lo, {e.plus_days('day', '2')} as hi from scrapes), days as (select distinct day from updates where krs < 40)
+@query("j19_interval_coverage", lambda e: f"""with spans as (select krs, day as lo, {e.plus_days('day', '2')} as hi from scrapes), days as (select day from updates group by day having count(*) >= (select count(*) * 1.0 / count(distinct day) from updates))
     select krs, lo, count(d.day) = 3 as covered from spans left join days d on d.day between lo and hi group by krs, lo""")
 def j19(t):
     spans = t["scrapes"].select("krs", F.col("day").alias("lo"), F.date_add("day", 2).alias("hi"))
-    return temporal.covered_days(spans, t["updates"].where("krs < 40"), "lo", "hi", "day").select("krs", "lo", "covered")
+    busy = t.sql("select day from updates group by day having count(*) >= (select count(*) * 1.0 / count(distinct day) from updates)")
+    return temporal.covered_days(spans, busy, "lo", "hi", "day").select("krs", "lo", "covered")
 
 
 both("j20_consecutive_pairs_with_update", lambda e: """select p.krs, p.day, p.next_day, min(u.day) as first_update, count(*) as n from (select krs, day, lead(day) over (partition by krs order by day) as next_day from scrapes) p
     join updates u on u.krs = p.krs and u.day > p.day and u.day <= p.next_day group by p.krs, p.day, p.next_day""")
 
 
-@query("j21_forward_chain", lambda e: """with api as (select krs, day from scrapes where method = 'api'), rej as (select krs, day from scrapes where method = 'register')
-    select * from (select a.krs, a.day as api1, (select min(r.day) from rej r where r.krs = a.krs and r.day >= a.day) as rej1 from api a) x where rej1 is not null""")
+@query("j21_forward_chain", lambda e: """with api as (select distinct krs, day from scrapes where method = 'api'), rej as (select distinct krs, day from scrapes where method = 'register'),
+    one as (select a.krs, a.day as api1, min(r.day) as rej1 from api a join rej r on r.krs = a.krs and r.day >= a.day group by a.krs, a.day),
+    two as (select o.krs, o.api1, o.rej1, min(a.day) as api2 from one o join api a on a.krs = o.krs and a.day > o.rej1 group by o.krs, o.api1, o.rej1),
+    three as (select t.krs, t.api1, t.rej1, t.api2, min(r.day) as rej2 from two t join rej r on r.krs = t.krs and r.day >= t.api2 group by t.krs, t.api1, t.rej1, t.api2)
+    select t.krs, t.api1, t.rej1, min(u.day) as changed, t.api2, t.rej2 from three t left join updates u on u.krs = t.krs and u.day > t.rej1 and u.day <= t.api2 group by t.krs, t.api1, t.rej1, t.api2, t.rej2""")
 def j21(t):
-    s = t["scrapes"]
-    one = temporal.asof_forward(s.where("method = 'api'").select("krs", "day"), s.where("method = 'register'").select("krs", "day"), "krs", "day", "day", [])
-    return one.where("_r is not null").select("krs", F.col("day").alias("api1"), F.col("_r._t").alias("rej1"))
+    """Each api scrape with the register scrape that follows, the next api scrape and register scrape, and the first
+    update between the inner two."""
+    api, rej = (t["scrapes"].where(F.col("method") == m).select("krs", "day").distinct() for m in ("api", "register"))
+    chain = api.withColumnRenamed("day", "api1")
+    for at, of, step, strict in (("api1", rej, "rej1", False), ("rej1", api, "api2", True), ("api2", rej, "rej2", False)):
+        chain = temporal.asof_forward(chain, of, "krs", at, "day", [], strict=strict).where("_r is not null").withColumn(step, F.col("_r._t")).drop("_r")
+    near = temporal.asof_forward(chain, t["updates"].select("krs", "day"), "krs", "rej1", "day", [], strict=True)
+    return near.withColumn("changed", F.when(F.col("_r._t") <= F.col("api2"), F.col("_r._t"))).select("krs", "api1", "rej1", "changed", "api2", "rej2")
 
 
 @query("j9_symmetric_anti", lambda e: """select krs, day, 'left' as side from (select distinct krs, day from scrapes) s where not exists (select 1 from updates u where u.krs = s.krs and u.day = s.day)
@@ -129,3 +139,23 @@ def u7(t):
 def y1(t):
     v = t["votes"].select("vote", "node", "category")
     return sets.occurrence_match(v.where("vote % 2 = 0"), v.where("vote % 2 = 1"), ["node", "category"], "vote", "vote").select("vote", "stored")
+
+
+@query("w1_surrogate_key", lambda e: "select id, cast(row_number() over (order by last_name, first_name, id) as bigint) as rowid from register_people")
+def w1(t):
+    """Rows before a name are counted over distinct names; within a name rows are numbered apart."""
+    names = ["last_name", "first_name"]
+    counts = t["register_people"].groupBy(*names).agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.orderBy(*names)) - F.col("n")).drop("n")
+    number = F.row_number().over(Window.partitionBy(*names).orderBy("id"))
+    return t["register_people"].withColumn("n", number).join(before, names).select("id", (F.col("before") + F.col("n")).cast("long").alias("rowid"))
+
+
+@query("w12_round_robin", lambda e: "select id, host, cast(row_number() over (order by rn, host) as bigint) as pos from (select id, host, row_number() over (partition by host order by priority, id) as rn from queue where not done) x")
+def w12(t):
+    """The first of each host, then the second, and so on: rounds are counted, and hosts numbered within a round."""
+    rows = t["queue"].where("not done").select("id", "host", F.row_number().over(Window.partitionBy("host").orderBy("priority", "id")).alias("rn"))
+    rounds = rows.groupBy("rn").agg(F.count("*").alias("n"))
+    before = rounds.select("rn", (F.sum("n").over(Window.orderBy("rn")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("rn").orderBy("host"))
+    return rows.withColumn("n", place).join(before, "rn").select("id", "host", (F.col("before") + F.col("n")).cast("long").alias("pos"))

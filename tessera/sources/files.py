@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints/tessera"
+    """A new path in the folder that the cluster shares; a local one only where the session names none and runs on one
+    machine.  On a cluster without such a folder there is no right place, so that raises."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        named = f"file://{tempfile.gettempdir()}/checkpoints/tessera"
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

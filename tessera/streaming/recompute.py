@@ -109,3 +109,16 @@ def bounded_calls(df: DataFrame, call: Callable[[str], str], column: str, out: s
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInPandas(run, f"{schema}, `{out}` string").select(*names, out)
+
+
+def claim(queue: DataFrame, now: str, expired_before: str, n: int, most: int = 3) -> DataFrame:
+    """A queue (id, priority, state, retries, leased_at and others) after a worker's turn.
+
+    Leases from before expired_before go back, at their retry number `most` they fail instead; then the n pending rows
+    of the smallest (priority, id) are leased from now on.  The n are found by a top-n, without ordering the queue."""
+    late = F.coalesce((F.col("state") == "leased") & (F.col("leased_at") < F.lit(expired_before).cast("timestamp")), F.lit(False))
+    tried = F.col("retries") + F.when(late, 1).otherwise(0)
+    back = queue.withColumns({"state": F.when(late & (tried >= most), "failed").when(late, "pending").otherwise(F.col("state")), "retries": tried.cast(queue.schema["retries"].dataType), "leased_at": F.when(~late, F.col("leased_at"))})
+    won = back.where("state = 'pending'").orderBy("priority", "id").limit(n).select("id", F.lit(True).alias("_won"))
+    out = back.join(F.broadcast(won), "id", "left")
+    return out.withColumns({"state": F.when(F.col("_won"), "leased").otherwise(F.col("state")), "leased_at": F.when(F.col("_won"), F.lit(now).cast(queue.schema["leased_at"].dataType)).otherwise(F.col("leased_at"))}).drop("_won")
