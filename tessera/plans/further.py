@@ -13,7 +13,7 @@ both("y2_additive_merge", lambda e: f"""select a.id, {e.text(e.union(e.filter(e.
 both("y3_precedence_merge", lambda e: "select company, case when company % 5 = 0 then is_public else activity = '84.11' end as is_public, case when company % 5 = 0 then 'manual' else 'scraped' end as origin from companies")
 both("y4_region_by_code", lambda e: "select c.company, coalesce(a.id, b.id) as region from companies c left join region_nodes a on a.id = substring(c.code4 || lpad(cast(c.company as string), 3, '0'), 1, 4) left join region_nodes b on b.id = c.code2")
 both("y5_idempotent_insert", lambda e: "select distinct substring(md5(source || target), 1, 12) as id from edges where n_lines > 1 and substring(md5(source || target), 1, 12) not in (select substring(md5(source || target), 1, 12) from edges where published)")
-_SENT = """select page_id, case when page_id % 5 = 0 then 'https://unknown.example/' || cast(page_id as string) else replace(url, '://', '://WWW.') || case when url like '%?%' or url like '%#%' then '' else '//' end end as url from pages"""
+_SENT = """select page_id, case when page_id % 5 = 0 then 'https://unknown.example/' || cast(page_id as string) else replace(url, '://www.', '://WWW.') || case when url like '%?%' or url like '%#%' then '' else '//' end end as url from pages"""
 
 
 @query("y6_facts_on_articles", lambda e: """select p.page_id, i.n as seq, case i.n when 0 then 'employment' else 'party_membership' end as fact_type, case i.n when 0 then 'Person ' || p.page_id end as person, case i.n when 1 then 'Party' end as party,

@@ -165,3 +165,193 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_as_of_joins_shuffle_once(visits, facts):
     plan = temporal.asof_backward(visits, facts, "k", "at", "on", ["v"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+# --- pages, registers, scores
+
+
+def test_page_tree_and_selectors():
+    from tessera.functions import pages
+
+    root = pages.tree('<body><p>a<p>b</p><ul><li>1<li class="x y">2</ul><div id=d data-k="v w"><b>in</b></div><br/>z &amp; q<script>no()</script>')
+    assert root.text() == "a b 1 2 in z & q"
+    assert pages.select(root, "li.y").text() == "2" and pages.select(root, "#d > b").text() == "in" and pages.select(root, "body b").text() == "in"
+    assert pages.select(root, "ul > b") is None and pages.select(root, "nav, [data-k^=v]").attrs["id"] == "d" and pages.select(root, "[data-k=v]") is None
+    assert pages.outline(root) == "body(p*2 ul(li li.x.y) div#d(b) br)"
+    for html in (None, "", "<", "<a href", "</p></p>", "<b>" * 3000):
+        pages.outline(pages.tree(html))
+        assert pages.links(pages.tree(html), "https://x.example/") == []
+
+
+def test_links_by_base_address():
+    from tessera.functions import pages
+
+    html = '<base href="https://www.Base.example/dir/"><a href=" x/?q ">1</a><a href="/y#f">2</a><a href="//Other.example/z/">3</a><a href="ftp://q/">4</a><a href="#x"><a href="http://[bad">'
+    assert pages.links(pages.tree(html), "https://x.example/") == ["https://base.example/dir/x", "https://base.example/y", "https://other.example/z"]
+
+
+def test_linked_data():
+    from tessera.functions import pages
+
+    doc = lambda *parts: pages.linked_items(pages.tree("".join(f'<script type="application/ld+json">{p}</script>' for p in parts)))
+    items = doc('{"@type": "WebSite", "name": "Site"}', "{bad", '[{"@graph": [{"@type": ["X", "newsarticle"], "headline": "A  &quot;b&quot;"}, {"datePublished": "03.05.2024, 10:00"}]}]')
+    assert len(items) == 4 and pages.title_of(items) == 'A "b"' and str(pages.date_of(items)) == "2024-05-03"
+    assert pages.title_of(doc('{"x": 1}', '{"headline": "late"}')) == "late" and pages.title_of([]) is None and pages.date_of(doc('{"datePublished": "2024-13-01"}')) is None
+    assert str(pages.day_of("7 maja 2023")) == "2023-05-07" and pages.day_of("x" * 200) is None
+
+
+def test_content_ladder():
+    from tessera.functions import pages
+
+    long = "word " * 60
+    page = f"<body><nav>{long * 3}</nav><article>short</article><main>{long}</main></body>"
+    got = pages.read_page(page)
+    assert got["method"] == "fallback:main" and got["content"] == long.strip() and got["status"] == "ok"
+    assert pages.read_page(page, "article")["content"] == "short" and pages.read_page(page, "section")["method"] == "fallback:main"
+    assert pages.read_page("<p>tiny</p>")["status"] == "empty_text" and pages.read_page(None)["content"] == ""
+
+
+def test_majority_prefers_what_says_more(spark):
+    from tessera.functions import pages
+
+    votes = spark.createDataFrame([("a", "article")] * 3 + [("a", ".text"), ("a", " "), ("a", None), ("b", "article"), ("b", "x" * 200)], "k string, s string")
+    assert rows(pages.majority(votes, "k", "s"), "k", "s", "votes") == [("a", ".text", 1), ("b", "article", 1)]
+
+
+def test_register_people_and_unread_places():
+    import json
+
+    from tessera.functions import register
+
+    p = lambda s, **more: {"nazwisko": {"nazwiskoICzlon": s}, "imiona": {"imie": "I"}, **more}
+    body = {"dzial2": {"reprezentacja": [{"sklad": [p("A", funkcjaWOrganie="X"), p("A", funkcjaWOrganie="X"), {"nazwa": "firm"}]}], "prokurenci": p("B")}, "dzial9": {"new": [{"in": p("C")}]}}
+    record = json.dumps({"odpis": {"dane": body}})
+    assert [(x["surname"], x["role"]) for x in register.people_of(record)] == [("A", "reprezentacja: X"), ("B", "prokurent")]
+    assert register.unread_paths(record) == ["dzial9.new[].in"]
+    for other in (None, "", "[]", "{}", '{"odpis": []}', '{"odpis": {"dane": [1]}}', '{"odpis": {"dane": {"dzial2": [], "dzial1": {"wspolnicySpzoo": [1, null]}}}}', "[" * 100_000):
+        assert register.people_of(other) == [] and register.unread_paths(other) == []
+    assert len(register.PERSON_PATHS) == 17
+
+
+def test_infobox():
+    from tessera.functions import register
+
+    kind, fields, linked = register.infobox("x {{Polityk infobox | a = [[L|shown]] and {{t|u=1}} | b=2|c}} rest | d = 4")
+    assert (kind, fields, linked["a"]) == ("Polityk", {"a": "shown and {{t|u=1}}", "b": "2"}, ["L"])
+    assert register.infobox("no box") is None and register.infobox(None) is None and register.infobox("{{X infobox | a = 1")[0] == "X"
+
+
+def test_unique_probability(spark):
+    one = lambda *x: spark.range(1).select(ids.unique_probability(*(F.lit(v).cast(k) for v, k in zip(x, ("double", "double", "boolean", "double"))))).first()[0]
+    import math
+
+    assert one(0.1, 0.5, True, 400) == pytest.approx((1 - 0.05) ** 10) and one(0.1, 0.5, False, 400) == pytest.approx(0.9**10)
+    assert one(0.1, None, True, 4000) == pytest.approx(math.exp(-10)) and one(None, None, True, 40) == 0 and one(0.5, 0.5, True, None) == pytest.approx(math.exp(-1250 * 0.25))
+    assert one(float("nan"), 0.5, True, 40) == pytest.approx(0.5)
+
+
+def test_fact_lines(spark):
+    from tessera.functions import register
+
+    text_ = "Facts:\n- employment | person=A | organization=O | role='r'\n* employment | person=B | organization=Komitet Wyborczy\nparty_membership | person=C\n- x | person=D\npersonal_relation | subject=E | object=F=G"
+    got = spark.createDataFrame([(text_,), (None,), ("",)], "a string").select(register.fact_lines(F.col("a")).alias("f")).collect()
+    assert [dict(x) for x in got[0].f] == [{"fact_type": "employment", "person": "A", "organization": "O", "role": "r"}, {"fact_type": "personal_relation", "subject": "E", "object": "F=G"}]
+    assert not got[1].f and not got[2].f
+
+
+def test_scorers_have_one_name():
+    from tessera.functions import scoring
+
+    with pytest.raises(ValueError):
+        scoring.scorer("default")(lambda c: c)
+
+
+def test_numbered_and_running_sum(spark):
+    df = spark.range(0, 3000, 3).selectExpr("(id * 7919) % 3001 as k", "id % 5 as v")
+    want, total = [], 0
+    for i, r in enumerate(sorted(df.collect()), 1):
+        total += r.v
+        want.append((r.k, i, total))
+    got = sets.running_sum(sets.numbered(df, "k", "n"), "k", "v", "s")
+    assert sorted((r.k, r.n, r.s) for r in got.collect()) == want
+    assert sets.numbered(df.limit(0), "k", "n").collect() == []
+
+
+def test_descendants_walk_only_from_the_starts(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (5, 6)], "parent long, child long")
+    starts = spark.createDataFrame([(4,), (2,)], "parent long")
+    assert rows(graph.descendants(starts, e), "parent", "child") == [(2, 1), (2, 2), (2, 3), (4, 5), (4, 6)]
+
+
+def test_claim(spark):
+    from tessera.streaming import recompute
+
+    t0, t9 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 9)
+    q = spark.createDataFrame([(1, 5, "pending", 0, None), (2, 1, "leased", 2, t0), (3, 1, "leased", 0, t0), (4, 1, "leased", 0, t9), (5, 9, "pending", 0, None), (6, 0, "done", 0, None)], "id long, priority long, state string, retries int, leased_at timestamp")
+    got = {r.id: (r.state, r.retries) for r in recompute.claim(q, "2024-01-10 00:00:00", "2024-01-05 00:00:00", 2).collect()}
+    assert got == {1: ("leased", 0), 2: ("failed", 3), 3: ("leased", 1), 4: ("leased", 0), 5: ("pending", 0), 6: ("done", 0)}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "spark://host:7077"}.get(name, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        files.scratch(Session(), "x")
+
+
+# --- queries that have no SQL, against plain Python
+
+
+def test_queries_without_sql(spark):
+    import difflib
+
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    q = entry.queries()
+    part = {r.p_partkey: r for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", "p_type").collect()}
+    for r in q["f4_sequence_ratio"](spark, sf).collect():
+        m = difflib.SequenceMatcher(None, part[r.p_partkey].p_name, part[r.p_partkey].p_type)
+        assert r.ratio == pytest.approx(m.ratio(), abs=1e-6) and r.edits == sum(o[0] != "equal" for o in m.get_opcodes())
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    import re
+
+    for r in q["f19_entity_runs"](spark, sf).collect():
+        assert r.entities == len(re.findall(r"[A-Z][a-z]+(?: [A-Z][a-z]+)+", docs[r.doc_id]))
+    spans = q["f13_verbatim_span"](spark, sf).collect()
+    assert len(spans) == sum(t is not None for t in docs.values())
+    for r in spans:
+        flat = re.sub(r"\s+", " ", docs[r.doc_id])
+        if r.start is not None and r.score == 1:
+            first = re.sub(r"\s+", " ", docs[r.doc_id][49:89]).strip()
+            assert flat[r.start :].startswith(first[:10]) or not first
+    people, cands = spark.read.parquet(f"{sf}/customer.parquet").collect(), spark.read.parquet(f"{sf}/orders.parquet").collect()
+    place = {c.c_custkey: c.c_nationkey for c in people}
+    pool: dict[tuple, dict[str, int]] = {}
+    for o in cands:
+        if o.o_custkey in place:
+            names = pool.setdefault((place[o.o_custkey], o.o_custkey % 37), {})
+            last = f"Last{o.o_custkey % 211}"
+            names[last] = min(names.get(last, o.o_orderkey), o.o_orderkey)
+    want = {}
+    for c in people:
+        own = f"Last{c.c_custkey % 211}"
+        scored = [(-(2.0 if n == own else difflib.SequenceMatcher(None, own, n).ratio() + 0.1), k) for n, k in pool.get((c.c_nationkey, c.c_custkey % 37), {}).items()]
+        if scored and min(scored)[0] <= -0.75:
+            want[c.c_custkey] = (min(scored)[1], round(-min(scored)[0], 6))
+    assert {r.id: (r.other, r.s) for r in q["j24_exact_then_fuzzy"](spark, sf).collect()} == want
+    taken: dict[int, tuple[float, float]] = {}
+    allowed = {}
+    for r in sorted(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts").collect(), key=lambda r: (r.user_id, r.ts, r.event_id)):
+        level, at = taken.get(r.user_id, (3.0, r.ts.timestamp()))
+        level = min(3.0, level + (r.ts.timestamp() - at) / 7200)
+        allowed[r.event_id] = level >= 1
+        taken[r.user_id] = (level - 1 if level >= 1 else level, r.ts.timestamp())
+    got = q["r2_token_bucket"](spark, sf).collect()
+    flag = next(n for n in got[0].asDict() if isinstance(got[0][n], bool))
+    assert {r.event_id: r[flag] for r in got} == allowed
