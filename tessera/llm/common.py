@@ -16,9 +16,11 @@ DETACH = 0x5DEECE66D
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is made only where the session names none (tests)."""
+    """The cluster's checkpoint folder; a local one only where the session names none and runs on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = f"file://{tempfile.gettempdir()}/checkpoints/tessera"
     return named.rstrip("/")
 
