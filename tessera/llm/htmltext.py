@@ -3,7 +3,8 @@
 Text nodes are grouped by their root-to-leaf tag path.  A path's text length and punctuation, each over its number of
 nodes, are smoothed along the page's order of paths and fused by their product; paths above a threshold hold the
 content.  The element that holds most of their text is the article, and all of its blocks are kept but for what is
-marked as something else (menus, adverts, forms, comments and the like).
+marked as something else (menus, adverts, forms, comments and the like).  Where no element is marked up as the article,
+blocks on content paths beside that element are kept too.
 """
 
 from __future__ import annotations
@@ -216,6 +217,7 @@ def blocks(page: str | None) -> list[str]:
         held[elements[e].parent] += held[e]
     root = max((e for e in range(len(elements)) if held[e] >= SHARE * held[0]), key=lambda e: elements[e].depth)
     # An element marked up as the article, or else the main part, holds its heading and short blocks as well.
+    beside: set[int] = set()
     up, x = {}, root
     while x > 0:
         up.setdefault(elements[x].tag, x)
@@ -225,6 +227,8 @@ def blocks(page: str | None) -> list[str]:
     else:
         while elements[root].tag in INLINE | {"p"}:
             root = elements[root].parent
+        # A guessed element may be one large part of the article: an introduction before a long list isn't in the list.
+        beside = {block for block, e, raw in nodes if ids[e] in content and raw.strip()}
     within = [False] * len(elements)
     within[root] = True
     for e in range(root + 1, len(elements)):
@@ -232,7 +236,7 @@ def blocks(page: str | None) -> list[str]:
     out: list[str] = []
     last = -1
     for block, e, raw in nodes:
-        if within[e]:
+        if within[e] or block in beside:
             if block != last:
                 out.append("")
                 last = block

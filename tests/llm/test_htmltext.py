@@ -17,6 +17,14 @@ def test_without_article_element():
     assert blocks(page) == [(long * 3).strip(), long.strip(), "Point one.", "Point two."]
 
 
+def test_chosen_text_beside_the_largest_part():
+    point = "A point of the list, which says something; and then, a bit more of it. "
+    intro = "An introduction, of <b>some</b> length, to what follows; it has commas, and ends here."
+    last = "The last section, short as it is, has its own element. It ends, too."
+    page = f"<body><div class=menu><a>One</a></div><div><p>{intro}</p><ul>{f'<li>{point}' * 12}</ul><p>{last}</p></div><div class=footer>{last}</div></body>"
+    assert blocks(page) == [intro.replace("<b>", "").replace("</b>", ""), *[point.strip()] * 12, last]
+
+
 def test_frame_named_after_a_part():
     page = "<div class='layout with-sidebar'><div class=sidebar>Links, links.</div><article><p>The text, at last. It is here.</p></article></div>"
     assert blocks(page) == ["The text, at last. It is here."]
