@@ -207,28 +207,53 @@ def infoboxes(df: DataFrame, wiki: str, subject: Sequence[str] = (), keyword: st
 
 # --- kinds of bodies
 
-#: (kind, beginnings of activity codes, pattern of names), in the order in which they are tried.
+#: Fixed values: (kind, beginnings of activity codes, pattern of names), in the order in which they are tried; names of
+#: civil partnerships, of forms that the court register holds, and of budget units.
 KINDS = (
-    ("health", ("86.", "87.", "21."), "SZPITAL|PRZYCHODNIA|ZOZ|MEDYCZN"),
-    ("utilities", ("35.", "36.", "37.", "38.", "39.", "49.3"), "WODOCI[ĄA]G|KANALIZAC|CIEP[ŁL]OWN|KOMUNALN"),
-    ("associations", ("94.", "88."), "STOWARZYSZ|FUNDACJ|KLUB"),
+    (
+        "health",
+        ("86.", "87.", "21."),
+        r"SZPITAL|PRZYCHODNIA|ZAK[ŁL]AD[ÓO]?W? (OPIEKI ZDROWOTNEJ|LECZNICTWA)|SPZ[OZ]|\bZOZ\b|NZOZ|CENTRUM MEDYCZNE|MEDYCZN|HOSPICJUM|SANATORIUM|UZDROWISKO|KRWIODAWSTWA|APTEKA|STOMATOLOG|REHABILITAC",
+    ),
+    (
+        "utilities",
+        ("35.", "36.", "37.", "38.", "39.", "49.3"),
+        r"WODOCI[ĄA]G|KANALIZAC|CIEP[ŁL]OWN|ENERGETYK|GOSPODARKI KOMUNALNEJ|GOSPODARKA KOMUNALNA|OCZYSZCZANIA|ZAK[ŁL]AD KOMUNALNY|USŁUG KOMUNALNYCH|\bMPK\b|\bPKS\b|\bMPWIK\b|\bPEC\b|KOMUNIKACJI MIEJSKIEJ|WODNO-KANALIZAC",
+    ),
+    ("associations", ("94.", "88."), r"STOWARZYSZ|FUNDACJ|OCHOTNICZA STRA[ŻZ]|\bOSP\b|\bKLUB\b|ZWI[ĄA]ZEK|KO[ŁL]O GOSPOD|PARAFIA|CARITAS|POLSKI CZERWONY KRZY[ŻZ]"),
+    (
+        "events",
+        ("82.3", "90.", "93.", "79.", "55.", "56.", "59.", "73.1"),
+        r"AGENCJA ARTYSTYCZNA|IMPREZ|KONCERT|FESTIWAL|\bTARGI\b|\bEVENT|ROZRYWK|ARTYSTYCZN|CATERING|GASTRONOM|RESTAURACJ|HOTEL\b|NAG[ŁL]O[ŚS]NIEN|SCENOTECHNI|WIDOWISK|ANIMACJ|ESTRAD",
+    ),
+    ("construction", ("41.", "42.", "43."), r"BUDOWNICTW|BUDOWLAN|\bBUD\b|DROGOW|INSTALAC|REMONT|DEKARS|BRUK"),
+)
+CIVIL = r"SP[ÓO][ŁL]KA CYWILNA|\bS\.?\s*C\.?\s*$|\bS\.?\s*C\.?[ ,]"
+COMPANY = (
+    r"SP[ÓO]?[ŁL]KA|SP\.?\s*Z\s*O\.?\s*O|\bZ\s*O\.?\s*O\.?|SP\.?\s*J\b|SP\.?\s*K\b|AKCYJN|\bS\.?\s*A\.?$|FUNDACJ|STOWARZYSZ|SP[ÓO][ŁL]DZIELN|PRZEDSI[ĘE]BIORSTWO PA[ŃN]STWOWE"
+    r"|OCHOTNICZA STRA[ŻZ]|\bKLUB\b|ZWI[ĄA]ZEK|IZBA\b|INSTYTUT\b|SPZ[OZ]|SAMODZIELNY PUBLICZNY|ZAK[ŁL]AD[ÓO]?W? (OPIEKI ZDROWOTNEJ|LECZNICTWA)|SZPITAL|CENTRUM KRWIODAWSTWA|TOWARZYSTWO"
+    r"|PRZYCHODNIA|HOSPICJUM|SANATORIUM|UZDROWISKO|AGENCJA\b"
+)
+OFFICE = (
+    r"^GMINA|^MIASTO|^URZ[ĄA]D|^POWIAT|^WOJEW[ÓO]DZTWO|^STAROSTWO|SZKO[ŁL]A|PRZEDSZKOLE|ZESP[ÓO][ŁL] SZK|OŚRODEK POMOCY|BIBLIOTEKA|DOM KULTURY|CENTRUM USŁUG|KOMENDA|NADLE[ŚS]NICTWO"
+    r"|S[ĄA]D |PROKURATURA|MINISTERSTWO"
 )
-CIVIL = r"\bS\.?C\.?\b|CYWILNA"
-COMPANY = r"SP[ÓO][ŁL]KA|SP\.? ?Z ?O|\bS\.?A\.?\b"
-OFFICE = "GMINA|POWIAT|URZ[ĄA]D|SZKO[ŁL]A"
 
 
 def kind_of_body(codes: Column, name: Column, budget: Column) -> Column:
     """A body's kind: by its own activity codes (an array), else by its name, the sector before the legal form (a
-    municipal company may be filed as a budget unit); what has no form at all is one person's business."""
+    municipal company may be filed as a budget unit); what has no form at all is one person's business.
+
+    Names match in any case, words by Unicode letters.  Null codes, names and budget say nothing."""
     n = F.upper(F.coalesce(name, F.lit("")))
+    has = lambda pattern: n.rlike(f"(?U){pattern}")
     out = F.when(F.lit(False), F.lit(""))
     for kind, heads, _ in KINDS:
         hit = F.exists(codes, lambda c: F.coalesce(c.rlike("^(" + "|".join(re.escape(h) for h in heads) + ")"), F.lit(False)))
         out = out.when(F.coalesce(hit, F.lit(False)), kind)
     for kind, _, pattern in KINDS:
-        out = out.when(n.rlike(pattern), kind)
-    return out.when(n.rlike(CIVIL), "civil").when(n.rlike(COMPANY), "private").when(F.coalesce(budget, F.lit(False)) | n.rlike(OFFICE), "budget").otherwise("sole")
+        out = out.when(has(pattern), kind)
+    return out.when(has(CIVIL), "civil").when(has(COMPANY), "private").when(F.coalesce(budget, F.lit(False)) | has(OFFICE), "budget").otherwise("sole")
 
 
 # --- lines of facts

@@ -115,11 +115,16 @@ _COMMITTEES = """select o_orderkey, case o_orderkey % 5 when 0 then '  KW   ' ||
 both("f15_committee_map", lambda e: f"""select o_orderkey, c.norm, m.parties from (select o_orderkey, trim({e.rx_replace('lower(committee)', '[ ' + chr(92) + 'n' + chr(92) + 't]+', ' ')}) as norm from ({_COMMITTEES}) y) c
     left join (values ('kw 1-urgent', 'A'), ('kw 2-high', 'B'), ('kkw 1-urgent', 'A|B'), ('kkw 3-medium', 'C'), ('5-low', 'D')) as m(name, parties) on m.name = c.norm""")
 
-_BODIES = """select company, case when company % 3 <> 1 then activity end as activity, company_name || case company % 9 when 0 then ' Szpital' when 1 then ' Wodociągi sp. z o.o.' when 2 then ' Fundacja' when 3 then ' s.c.' when 4 then ' Spółka' when 5 then ' Urząd' when 6 then ' SA' else '' end as name, company % 8 = 7 as budget from companies"""
+#: Bodies with a code of their own or none, and names that state a sector, a legal form, an office or nothing.
+_BODIES = """select company, case when company % 3 <> 1 then case company % 11 when 0 then '86.10' when 2 then '90.01' when 3 then '41.20' when 5 then '94.99' when 6 then '73.12' when 8 then '73.20' else activity end end as activity,
+    case when company % 15 = 5 then 'Urząd ' else '' end || company_name || case company % 15 when 0 then ' Szpital' when 1 then ' Wodociągi sp. z o.o.' when 2 then ' Fundacja' when 3 then ' s.c.' when 4 then ' Spółka' when 6 then ' SA' when 7 then ' Urząd'
+        when 8 then ' Catering' when 9 then ' Roboty drogowe' when 10 then ' Spółka Cywilna' when 11 then ' Biblioteka' when 12 then ' Instytut' when 13 then ' Klub SA' else '' end as name, company % 8 = 7 as budget from companies"""
 
 
-@query("f16_classify_by_code", lambda e: f"""select company, case when regexp_matches(activity, '^(86[.]|87[.]|21[.])') then 'health' when regexp_matches(activity, '^(35[.]|36[.]|37[.]|38[.]|39[.]|49[.]3)') then 'utilities' when regexp_matches(activity, '^(94[.]|88[.])') then 'associations'
-    when name like '%Szpital%' then 'health' when name like '%Wodociągi%' then 'utilities' when name like '%Fundacja%' then 'associations' when name like '% s.c.' then 'civil' when name like '%Spółka%' or name like '% SA' then 'private' when budget or name like '%Urząd%' then 'budget' else 'sole' end as kind from ({_BODIES}) x""")
+@query("f16_classify_by_code", lambda e: f"""select company, case when left(activity, 3) in ('86.', '87.', '21.') then 'health' when left(activity, 3) in ('35.', '36.', '37.', '38.', '39.') or left(activity, 4) = '49.3' then 'utilities' when left(activity, 3) in ('94.', '88.') then 'associations'
+    when left(activity, 3) in ('90.', '93.', '79.', '55.', '56.', '59.') or left(activity, 4) in ('82.3', '73.1') then 'events' when left(activity, 3) in ('41.', '42.', '43.') then 'construction'
+    when name like '%Szpital%' then 'health' when name like '%Wodociągi%' then 'utilities' when name like '%Fundacja%' or name like '% Klub %' then 'associations' when name like '%Catering%' then 'events' when name like '%drogowe%' then 'construction'
+    when name like '% s.c.' or name like '%Spółka Cywilna%' then 'civil' when name like '%Spółka%' or name like '% SA' or name like '%Instytut' then 'private' when budget or name like 'Urząd%' or name like '%Biblioteka%' then 'budget' else 'sole' end as kind from ({_BODIES}) x""")
 def f16(t):
     return t.sql(_BODIES).select("company", register.kind_of_body(F.array("activity"), F.col("name"), F.col("budget")).alias("kind"))
 

@@ -355,3 +355,44 @@ def test_queries_without_sql(spark):
     got = q["r2_token_bucket"](spark, sf).collect()
     flag = next(n for n in got[0].asDict() if isinstance(got[0][n], bool))
     assert {r.event_id: r[flag] for r in got} == allowed
+
+
+def test_kinds_of_bodies(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.register import kind_of_body
+
+    rows = [
+        (["62.01", "73.11"], "Szpital", False, "events"),
+        (["73.20", None], "Szpital", False, "health"),
+        (["49.32"], None, None, "utilities"),
+        (["49.41"], None, None, "sole"),
+        ([], "Zielonogórskie Wodociągi i Kanalizacja Spółka z o.o.", True, "utilities"),
+        (None, "Zakład Lecznictwa", None, "health"),
+        (None, "NZOZ Zdrowie", None, "health"),
+        (None, "Dworzec PKS", None, "utilities"),
+        (None, "PKSy", None, "sole"),
+        (None, "\u0141MPK", None, "sole"),
+        (None, "Ochotnicza Straż Pożarna", True, "associations"),
+        (None, "Klub Sportowy SA", None, "associations"),
+        (None, "Hotel pod Lipą", None, "events"),
+        (None, "Hotelik", None, "sole"),
+        (None, "REM-BUD Jan", None, "construction"),
+        (None, "Budka", None, "sole"),
+        (None, "Kowalski i Nowak s. c.", None, "civil"),
+        (None, "Spółka cywilna Lis", None, "civil"),
+        (None, "Alfa sp. z o.o.", True, "private"),
+        (None, "Alfa S.A.", None, "private"),
+        (None, "Alfa S.A. w likwidacji", None, "sole"),
+        (None, "Alfa sp. k.", None, "private"),
+        (None, "Izba Rolnicza", None, "private"),
+        (None, "Gmina Lipa", None, "budget"),
+        (None, "Dawna Gmina Lipa", None, "sole"),
+        (None, "Zespół Szkół", None, "budget"),
+        (None, "Ośrodek Pomocy Społecznej", None, "budget"),
+        (None, "Jan Kowalski", True, "budget"),
+        (None, None, None, "sole"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, codes array<string>, name string, budget boolean, kind string")
+    got = df.withColumn("got", kind_of_body(F.col("codes"), F.col("name"), F.col("budget"))).orderBy("i").collect()
+    assert [(r.name, r.got) for r in got] == [(r.name, r.kind) for r in got]
