@@ -99,8 +99,67 @@ def shortened(c: Column, most: int = 160) -> Column:
     return F.when(F.length(c) <= most, c).otherwise(F.concat(head, F.lit("…")))
 
 
-def stem(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "(ami|ach|owi|ego|emu|ing|tion|ion|ed|es|y|a|e|u|i|o)$", "")
+#: Nominal endings in the order in which they are tried, words of organisations that tell nothing, short
+#: labels of parties with what texts call them, and (short name, part of a committee's name) of parties.
+ENDINGS = "owymi owego owej owym owych owie owemu ami ach om iem em u ie ej ego e i y a".split()
+COMMON_ORG_WORDS = (
+    "spolka spolki spolce spolke spolk spółka spółki spółk z ograniczona odpowiedzialnoscia odpowiedzialnosci odpowiedzialnosc spzoo sa s zaklad zaklady fundacja fundacji centrum sp akcyjna"
+    " polska polskie polski polskiej krajowa krajowy powiatowa powiatowy miejskie miejskiego miejski miejskiej miejsca"
+).split()
+PARTY_LABELS = {
+    "pis": ("pis", "prawo i sprawiedliwosc"),
+    "po": ("koalicja obywatelska",),
+    "psl": ("psl", "polskie stronnictwo ludowe"),
+    "polska 2050": ("polska 2050", "pl2050"),
+    "nowa lewica": ("nowa lewica",),
+    "konfederacja": ("konfederacja",),
+}
+PARTY_NAMES = (
+    ("pis", "prawo i sprawiedliwosc"),
+    ("psl", "polskie stronnictwo ludowe"),
+    ("sld", "sojusz lewicy demokratycznej"),
+    ("koalicja obywatelska", "koalicja obywatelska"),
+    ("konfederacja", "konfederacja"),
+    ("nowoczesna", "nowoczesna"),
+    ("trzecia droga", "trzecia droga"),
+    ("polska 2050", "polska 2050"),
+    ("pl2050", "pl2050"),
+    ("samoobrona", "samoobrona"),
+    ("liga polskich rodzin", "ligi polskich rodzin"),
+    ("zjednoczona prawica", "zjednoczona prawica"),
+    ("akcja wyborcza solidarnosc", "akcja wyborcza solidarnosc"),
+    ("unia wolnosci", "unia wolnosci"),
+)
+
+
+def _literals(values) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def stem(word: Column) -> Column:
+    """A word without its ending: the first of ENDINGS that leaves four letters or more; words as normalize_text() gives them."""
+    ending = F.get(F.filter(_literals(ENDINGS), lambda e: F.endswith(word, e) & (F.length(word) - F.length(e) >= 4)), F.lit(0))
+    return F.substring(word, F.lit(1), F.length(word) - F.coalesce(F.length(ending), F.lit(0)))
+
+
+def org_terms(name: Column) -> Column:
+    """The stems of five letters or more by which a text mentions an organisation, sorted; none of COMMON_ORG_WORDS.
+
+    Names as normalize_text() gives them; a null name has none."""
+    words = F.transform(F.split(F.coalesce(name, F.lit("")), r"\s+"), lambda w: F.struct(w.alias("word"), stem(w).alias("stem")))
+    told = F.filter(words, lambda x: ~x["word"].isin(COMMON_ORG_WORDS) & ~x["stem"].isin(COMMON_ORG_WORDS) & (F.length(x["stem"]) >= 5))
+    return F.array_sort(F.array_distinct(F.transform(told, lambda x: x["stem"])))
+
+
+def party_terms(label: Column) -> Column:
+    """What a text calls the party of a label or of a committee's name, sorted; none for other and null labels.
+
+    Labels as normalize_text() gives them."""
+    named = F.array_compact(F.array(*(F.when(F.contains(label, F.lit(part)), F.lit(t)) for short, part in PARTY_NAMES for t in (short, part))))
+    out = F.when(F.lit(False), named)
+    for short, terms in PARTY_LABELS.items():
+        out = out.when(label == short, _literals(terms))
+    return F.array_sort(F.array_distinct(out.otherwise(named)))
 
 
 def without_thoughts(c: Column) -> Column:

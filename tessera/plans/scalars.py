@@ -83,9 +83,22 @@ def f9(t):
     return t["part"].select("p_partkey", text.slug(F.concat("p_name", F.lit(" "), "p_type", F.lit(" Łąka!"))).alias("slug"))
 
 
-@query("f10_stem", lambda e: "select distinct p_name, regexp_replace(lower(p_name), '(ami|ach|owi|ego|emu|ing|tion|ion|ed|es|y|a|e|u|i|o)$', '') as stem from part")
+#: Organisations and parties as registers and files spell them.
+_ORGS = """select p_partkey, case p_partkey % 6 when 0 then 'Przedsiębiorstwa Gospodarki Komunalnej ' || p_name when 1 then 'Fundacja  ' || p_name || ' Miejskiego Teatru' when 2 then 'Wodociągami Łódzkich Zakładów Sp. z o.o.'
+    when 3 then 'Polska Spółka Węglowa ' || p_type when 4 then null else p_name end as org,
+    case p_partkey % 11 when 0 then 'PiS' when 1 then 'PO' when 2 then 'PSL' when 3 then 'KW Prawo i Sprawiedliwość' when 4 then 'Sojusz Lewicy Demokratycznej' when 5 then 'KKW Trzecia Droga Polska 2050 - Polskie Stronnictwo Ludowe'
+        when 6 then 'Nowa Lewica' when 7 then 'KW Ligi Polskich Rodzin' when 8 then p_brand when 9 then 'Polska 2050' end as party from part"""
+
+
+@query("f10_stem", lambda e: f"""with w as (select p_partkey, party, unnest(string_split_regex(coalesce(org, ''), ' +')) as w from (select p_partkey, replace(lower(strip_accents(org)), 'ł', 'l') as org, replace(lower(strip_accents(party)), 'ł', 'l') as party from ({_ORGS}) o) n),
+    st as (select p_partkey, party, w, left(w, length(w) - coalesce(length(list_filter(string_split('{' '.join(text.ENDINGS)}', ' '), lambda e: ends_with(w, e) and length(w) - length(e) >= 4)[1]), 0)) as s from w),
+    o as (select p_partkey, party, coalesce(string_agg(distinct s, '|' order by s) filter (where length(s) >= 5 and not list_contains(string_split('{' '.join(text.COMMON_ORG_WORDS)}', ' '), w) and not list_contains(string_split('{' '.join(text.COMMON_ORG_WORDS)}', ' '), s)), '') as stems from st group by p_partkey, party)
+    select p_partkey, stems, case when party = 'pis' then 'pis|prawo i sprawiedliwosc' when party = 'po' then 'koalicja obywatelska' when party = 'psl' then 'polskie stronnictwo ludowe|psl' when party = 'nowa lewica' then 'nowa lewica' when party = 'polska 2050' then 'pl2050|polska 2050'
+        when party like '%prawo i%' then 'pis|prawo i sprawiedliwosc' when party like 'sojusz%' then 'sld|sojusz lewicy demokratycznej' when party like '%trzecia%' then 'polska 2050|polskie stronnictwo ludowe|psl|trzecia droga'
+        when party like '%ligi%' then 'liga polskich rodzin|ligi polskich rodzin' else '' end as terms from o""")
 def f10(t):
-    return t["part"].select("p_name", text.stem(F.col("p_name")).alias("stem")).distinct()
+    named = t.sql(_ORGS).select("p_partkey", text.normalize_text("org").alias("org"), text.normalize_text("party").alias("party"))
+    return named.select("p_partkey", F.array_join(text.org_terms(F.col("org")), "|").alias("stems"), F.array_join(text.party_terms(F.col("party")), "|").alias("terms"))
 
 
 @query("f11_mention_index", lambda e: """with w as (select doc_id, generate_subscripts(ws, 1) as pos, unnest(ws) as a from (select doc_id, string_split_regex(text, '[^A-Za-z]+') as ws from documents) d),

@@ -396,3 +396,24 @@ def test_kinds_of_bodies(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, codes array<string>, name string, budget boolean, kind string")
     got = df.withColumn("got", kind_of_body(F.col("codes"), F.col("name"), F.col("budget"))).orderBy("i").collect()
     assert [(r.name, r.got) for r in got] == [(r.name, r.kind) for r in got]
+
+
+def test_stems_and_terms(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.text import normalize_text, org_terms, party_terms, stem
+
+    words = {"przedsiebiorstwa": "przedsiebiorstw", "wodociagami": "wodociag", "teatrowie": "teatr", "domu": "domu", "domow": "domow", "komunalnego": "komunaln", "kowalowie": "kowal", "": "", "nowego": "nowego", "mlynach": "mlyn", "lasach": "lasach"}
+    df = spark.createDataFrame(list(words.items()), "w string, s string")
+    assert {r.w: r.got for r in df.withColumn("got", stem(F.col("w"))).collect()} == words
+    rows = [
+        ("Przedsiębiorstwo Gospodarki  Komunalnej i Mieszkaniowej Sp. z o.o.", ["gospodark", "komunaln", "mieszkani", "przedsiebiorstwo"], "PiS", ["pis", "prawo i sprawiedliwosc"]),
+        ("Spółka Akcyjna Miejskiego Centrum", [], "PO", ["koalicja obywatelska"]),
+        ("", [], "Komitet Wyborczy PO", []),
+        (None, [], None, []),
+        ("Teatr Teatru", ["teatr"], "KW Polska 2050 i Konfederacja", ["konfederacja", "polska 2050"]),
+    ]
+    df = spark.createDataFrame([(i, r[0], r[2]) for i, r in enumerate(rows)], "i int, org string, party string")
+    got = df.select("i", org_terms(normalize_text("org")).alias("o"), party_terms(normalize_text("party")).alias("p")).orderBy("i").collect()
+    assert [r.p for r in got] == [r[3] for r in rows]
+    assert [r.o for r in got] == [r[1] for r in rows]
