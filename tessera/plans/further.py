@@ -50,9 +50,9 @@ both("y14_change_report", lambda e: f"""select method, count(*) as n, round(avg(
 both("y15_success_by_delay", lambda e: f"select d, count(*) as n, count(*) filter (where hit) as ok, round(cast(count(*) filter (where hit) as double) / count(*), 6) as rate from (select {e.days('u.day', 's.day')} as d, s.n_people % 2 = 0 as hit from updates u join snapshots s on u.krs = s.krs and s.day >= u.day) x where d <= 10 group by d")
 both("y16_two_pass_links", lambda e: f"""with titles as (select distinct full_name from wiki_people where birth_year > 1980), links as (select id, 'First' || cast(id % 37 as string) || ' Last' || cast(x as string) as link from wiki_people {e.unnest(e.array('id % 211', '(id + 7) % 211', '(id + 13) % 211'))})
     select id, {e.text(e.set('link'))} as people from links where link in (select full_name from titles) group by id""")
-both("y17_overlap_metrics", lambda e: f"select person, {e.size(e.intersect('a', 'b'))} as both_n, round(cast({e.size(e.intersect('a', 'b'))} as double) / {e.size(e.union('a', 'b'))}, 9) as iou from (select person, {e.set('company')} as a from posts where company % 3 <> 0 group by person) x join (select person, {e.set('company')} as b from posts where company % 2 = 0 group by person) y using (person)")
+both("y17_overlap_metrics", lambda e: f"select person, {e.size(e.intersect('a', 'b'))} as both_n, round(cast({e.size(e.intersect('a', 'b'))} as double) / {e.size(e.union('a', 'b'))}, 9) as iou from (select person, {e.set('company')} as a from posts where company % 3 <> 0 group by person) x join (select person, {e.set('company')} as b from posts where company % 2 = 0 or company % 3 = 0 group by person) y using (person)")
 both("y18_tag_runs", lambda e: "select user_id, event_type as tag, min(event_id) as first, count(*) as n, round(avg(value), 4) as score from (select *, row_number() over (partition by user_id order by event_id) - row_number() over (partition by user_id, event_type order by event_id) as run from events) x group by user_id, event_type, run")
-both("y19_registry_upsert", lambda e: f"select krs, {e.text(e.set('source'))} as sources, {e.text(e.set('code'))} as codes, max(name) as name from (select krs, 'a' as source, code2 as code, company_name as name from companies where company % 2 = 0 union all select krs, 'b', code4, null from companies where company % 3 = 0) x group by krs")
+both("y19_registry_upsert", lambda e: f"select krs, {e.text(e.set('source'))} as sources, {e.text(e.set('code'))} as codes, max(name) as name from (select krs, 'a' as source, code2 as code, company_name as name from companies where company % 2 = 0 union all select krs, 'b', code4, null from companies where company % 2 = 1 or company % 3 = 0) x group by krs")
 both("y20_first_non_empty", lambda e: f"select krs, min_by(name, rank) as name, {e.text(e.set('parent'))} as parents from (select c.krs, 1 as rank, nullif(case when c.company % 2 = 0 then '' else c.company_name end, '') as name, o.parent from companies c left join owners o on o.child = c.company union all select krs, 2, company_name || ' (register)', null from companies) x where name is not null group by krs")
 both("y21_null_drop", lambda e: f"select id, {e.size(e.filter(e.array('first_name', 'second_name', 'last_name', 'birth_date'), 'x', 'x is not null'))} as kept from register_people")
 both("y22_window_top", lambda e: "select user_id, count(*) as n from events where ts >= timestamp '2024-01-20 00:00:00' group by user_id order by n desc, user_id limit 10")

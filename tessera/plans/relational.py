@@ -62,7 +62,7 @@ both("j4_composite_key_list_element", lambda e: f"""with w as (select person, {e
     s as (select last_name, code2, count(*) as n from candidates group by last_name, code2)
     select w.person, s.n from w left join s on w.last_name = s.last_name and {e.at('w.codes', 1)} = s.code2""")
 both("j7_full_outer_null_safe", lambda e: """with a as (select first_name, second_name, count(*) as n from register_people where id % 2 = 0 group by first_name, second_name),
-    b as (select first_name, second_name, count(*) as m from register_people where id % 3 = 0 group by first_name, second_name)
+    b as (select first_name, second_name, count(*) as m from register_people where id % 2 = 1 or id % 3 = 0 group by first_name, second_name)
     select coalesce(a.first_name, b.first_name) as first_name, coalesce(a.second_name, b.second_name) as second_name, a.n, b.m from a full outer join b on a.first_name = b.first_name and a.second_name is not distinct from b.second_name""")
 both("j8_contradictory_candidacies", lambda e: f"""select distinct a.person from (select distinct person, election_year, election_type, code from contests) a join (select distinct person, election_year, election_type, code from contests) b
     on a.person = b.person and a.election_year = b.election_year and a.election_type = b.election_type where not {e.starts('a.code', 'b.code')} and not {e.starts('b.code', 'a.code')}""")
@@ -72,9 +72,9 @@ both("j11_flag_ambiguous", lambda e: f"""with amb as (select person from candida
     select c.person, a.person is not null as ambiguous, count(case when a.person is null then c.cand end) as kept from candidates c left join amb a on c.person = a.person group by c.person, a.person""")
 both("j12_share_of_total", lambda e: "select first_name, n, round(n / total, 9) as p from (select first_name, count(*) as n from register_people group by first_name) a cross join (select cast(count(*) as double) as total from register_people) t")
 both("j13_max_joined_back", lambda e: """select v.node, v.category, v.amount, v.vote from votes v join (select node, category, max(amount) as top from votes group by node, category) m on v.node = m.node and v.category = m.category and v.amount = m.top""")
-both("j14_semi_and_anti", lambda e: """select company, 'submitted' as side from companies where company in (select company from posts where end_date is null) and company % 2 = 0
+both("j14_semi_and_anti", lambda e: """select company, 'submitted' as side from companies where company in (select company from posts where end_date is null)
     union all select company, 'missing' from companies c where not exists (select 1 from owners o where o.child = c.company)""")
-both("j22_multi_source_precedence", lambda e: """with keys as (select krs from companies where company % 2 = 0 union select krs from companies where company % 3 = 0 union select krs from companies where balance < 0)
+both("j22_multi_source_precedence", lambda e: """with keys as (select krs from companies where company % 2 = 0 union select krs from companies where company % 3 = 0 union select krs from companies)
     select k.krs, coalesce(a.company_name, b.company_name, 'unknown') as name, coalesce(b.city, a.city) as city, a.krs is not null as in_a, b.krs is not null as in_b from keys k
     left join (select * from companies where company % 2 = 0) a on k.krs = a.krs left join (select * from companies where company % 3 = 0) b on k.krs = b.krs""")
 both("j23_lookup_with_dominant_fallback", lambda e: """with shares as (select code2, activity, count(*) as n, sum(count(*)) over (partition by code2) as total from companies group by code2, activity),
@@ -183,9 +183,9 @@ both("t12_distinct", lambda e: "select distinct first_name, last_name from candi
 # --- sets
 
 both("u1_union_all", lambda e: "select first_name as name from register_people union all select last_name from candidates")
-both("u2_concat_keep_first", lambda e: "select url, source from (select url, source, row_number() over (partition by url order by source) as rn from (select url, 1 as source from pages where page_id % 2 = 0 union all select url, 2 from pages where page_id % 3 = 0) x) y where rn = 1")
-both("u3_set_algebra", lambda e: """select 'union' as op, k from (select company as k from companies where company % 2 = 0 union select company from companies where company % 3 = 0) a union all select 'minus', k from (select company as k from companies where company % 2 = 0 except select company from companies where company % 3 = 0) b
-    union all select 'one side', k from (select company as k from companies where company % 2 = 0 union all select company from companies where company % 3 = 0) c group by k having count(*) = 1""")
+both("u2_concat_keep_first", lambda e: "select url, source from (select url, source, row_number() over (partition by url order by source) as rn from (select url, 1 as source from pages where page_id % 2 = 0 union all select url, 2 from pages) x) y where rn = 1")
+both("u3_set_algebra", lambda e: """select 'union' as op, k from (select company as k from companies where company % 2 = 0 union select company from companies where company % 2 = 1 or company % 3 = 0) a union all select 'minus', k from (select company as k from companies where company % 2 = 0 except select company from companies where company % 2 = 1 or company % 3 = 0) b
+    union all select 'one side', k from (select company as k from companies where company % 2 = 0 union all select company from companies where company % 2 = 1 or company % 3 = 0) c group by k having count(*) = 1""")
 both("u4_intersection", lambda e: "select company from companies where is_public intersect select company from companies where code2 in ('01', '02')")
 both("u8_added_and_removed", lambda e: f"""select a.krs, {e.text(e.except_('b.xs', 'a.xs'))} as added, {e.text(e.except_('a.xs', 'b.xs'))} as removed from (select user_id as krs, {e.set('event_type')} as xs from events where ts < timestamp '2024-01-16 00:00:00' group by user_id) a
     join (select user_id as krs, {e.set('event_type')} as xs from events where ts >= timestamp '2024-01-16 00:00:00' group by user_id) b on a.krs = b.krs""")

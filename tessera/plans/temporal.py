@@ -100,9 +100,13 @@ def t3(t):
     return t.sql("select q.id, b.bucket from (select distinct bucket from queue) b, lateral (select id from queue q where q.bucket = b.bucket and not q.done order by priority, id limit 2) q")
 
 
-@query("u5_snapshot_diff", lambda e: "select k, 'deleted' as what from (select o_custkey as k from orders where o_orderkey % 10 = 0 except select o_custkey from orders where o_orderkey % 10 = 1) a union all select k, 'new' from (select o_custkey as k from orders where o_orderkey % 10 = 1 except select o_custkey from orders where o_orderkey % 10 = 0) b")
+#: Customers with a year in which they ordered, as two snapshots hold them.
+_SEEN = "select cast(o_custkey as string) || '-' || cast(year(o_orderdate) as string) as k, o_orderkey % 2 as half from orders"
+
+
+@query("u5_snapshot_diff", lambda e: f"with s as ({_SEEN}) select k, 'deleted' as what from (select k from s where half = 0 except select k from s where half = 1) a union all select k, 'new' from (select k from s where half = 1 except select k from s where half = 0) b")
 def u5(t):
-    a, b = (t["orders"].where(f"o_orderkey % 10 = {i}").select(F.col("o_custkey").alias("k")) for i in (0, 1))
+    a, b = (t.sql(_SEEN).where(f"half = {i}").select("k") for i in (0, 1))
     return a.subtract(b).withColumn("what", F.lit("deleted")).union(b.subtract(a).withColumn("what", F.lit("new")))
 
 
