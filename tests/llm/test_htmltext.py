@@ -1,3 +1,5 @@
+import random
+
 from tessera.llm.htmltext import blocks, extract, parse, path_ratios
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -44,6 +46,47 @@ def test_path_table():
     assert [r[:4] for r in rows] == [("/article/p", 2, 14, 3)]
 
 
+def random_page(rng):
+    """A page of nested elements, and its texts as (path, text) in page order."""
+    texts = []
+
+    def words():
+        return " ".join(rng.choice(["one", "two,", "three.", "four; five", "six"]) for _ in range(rng.randrange(0, 12)))
+
+    def element(path, depth):
+        out = []
+        for _ in range(rng.randrange(1, 5) if depth < 4 else 1):
+            w = words()
+            texts.append((path, w))
+            out.append(w)
+            if depth < 4:
+                tag = rng.choice(["div", "section", "blockquote", "pre"])
+                out.append(f"<{tag}>{element(f'{path}/{tag}', depth + 1)}</{tag}>")
+        return "".join(out)
+
+    return f"<body>{element('/body', 0)}</body>", [(p, t) for p, t in texts if t]
+
+
+def test_ratios_match_plain_sums():
+    rng = random.Random(5)
+    for _ in range(30):
+        page, texts = random_page(rng)
+        sums = {}
+        for path, t in texts:
+            n, size, marks = sums.get(path, (0, 0, 0))
+            sums[path] = (n + 1, size + len(t), marks + sum(c in ".,;" for c in t))
+        rows = list(sums.items())
+        want = []
+        for i, (path, (n, size, marks)) in enumerate(rows):
+            near = [(rows[j][1], 1 if j == i else 0.25) for j in (i - 1, i, i + 1) if 0 <= j < len(rows)] if len(rows) > 2 else [(rows[i][1], 1)]
+            weight = sum(w for _, w in near)
+            length, punctuation = (sum(w * x[k] / x[0] for x, w in near) / weight for k in (1, 2))
+            want.append((path, n, size, marks, length * (1 + punctuation)))
+        got = path_ratios(*parse(page))
+        assert [r[:4] for r in got] == [r[:4] for r in want]
+        assert all(abs(g[4] - w[4]) < 1e-9 for g, w in zip(got, want))
+
+
 def test_operator(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old"), (None, "v", "", "x"), (1, "u", PAGE, "old")], "page_id long, url string, html string, text string")
     got = sorted((str(r.page_id), r.n_chars, r.text) for r in extract(df).collect())
