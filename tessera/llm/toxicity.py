@@ -51,6 +51,12 @@ def _features(words: set[str]) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in STARTS if len(w) > n}
 
 
+def _weight(get, word: str) -> float:
+    """The largest weight among the word's features; beginnings are shorter than the word, as in _features()."""
+    n = len(word)
+    return max(get(word, 0.0), get(word[:4] + "*", 0.0) if n > 4 else 0.0, get(word[:5] + "*", 0.0) if n > 5 else 0.0)
+
+
 def segments(words: list[str], weights: dict[str, float], cost: float = COST) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments as (first token, end, score), in one pass over the tokens.
 
@@ -60,7 +66,7 @@ def segments(words: list[str], weights: dict[str, float], cost: float = COST) ->
     stack: list[tuple[int, int, float, float]] = []
     total, at = 0.0, 0
     for i, w in enumerate(words):
-        s = max(get(w, 0.0), get(w[:4] + "*", 0.0), get(w[:5] + "*", 0.0))
+        s = _weight(get, w)
         if s <= 0:
             continue
         before = total - cost * (i - at)
@@ -166,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for t in batch.column("text"):
             words = tokens(t.as_py())
             total += len(words)
-            found.update(round(s, 1) for w in words if (s := max(weights.get(w, 0), weights.get(w[:4] + "*", 0), weights.get(w[:5] + "*", 0))) > 0)
+            found.update(round(s, 1) for w in words if (s := _weight(weights.get, w)) > 0)
         return pa.record_batch([pa.array([total], pa.int64()), pa.array([[*found.keys()]], pa.list_(pa.float64())), pa.array([[*found.values()]], pa.list_(pa.int64()))], names=["total", "s", "n"])
 
     seen, total = Counter(), 0

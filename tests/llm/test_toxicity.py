@@ -1,8 +1,9 @@
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from tessera.llm.toxicity import Model, passages, score, segments, train
+from tessera.llm.toxicity import COST, Model, passages, score, score_text, segments, train
 
 from .data import DOCS, frame
 
@@ -33,6 +34,23 @@ def test_segments_are_the_maximal_ones():
         assert got == [(a, b, round(s, 6)) for a, b, s in brute(words, weights, 0.9)]
 
 
+def test_score_by_definition():
+    """Evidence is what the maximal segments exceed their expectation in clean text by, through the logistic curve."""
+    rng = random.Random(9)
+    # Weights that no number of other words makes up for exactly: which of two equal segments counts is another matter.
+    vile, nast = math.pi, math.sqrt(3.3)
+    model = Model({"vile": vile, "nasty": 1.5, "nast*": nast}, (0.8, 0.05), (-2.0, 1.1))
+    weight = {"vile": vile, "nasty": nast, "nastier": nast, "nast": 0.0, "calm": 0.0, "day": 0.0}
+    seen = set()
+    for _ in range(200):
+        words = rng.choices(list(weight), [1, 1, 1, 2, 4, 4], k=rng.randint(0, 40))
+        named = {w: x for w, x in weight.items() if x}
+        x = sum(max(0.0, 0.8 * s - math.log(0.05 * max(1, len(words)))) for _, _, s in brute(words, named, COST))
+        assert abs(score_text(words, model) - 1 / (1 + math.exp(2.0 - 1.1 * x))) < 1e-9 or x > 25
+        seen.add(x > 0)
+    assert seen == {True, False}
+
+
 def corpus():
     rng = random.Random(4)
     plain = [f"w{rng.randint(0, 400)}x" for _ in range(400)]
