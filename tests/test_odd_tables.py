@@ -31,3 +31,21 @@ def test_first_of_each_bucket(spark, tmp_path):
     assert got == want and len(got) == 12
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Sort" not in plan and "priority" in plan[plan.index("Window") :].split("\n")[0]
+
+
+def graph(nation, published=True):
+    """Orders, lines and suppliers; the second supplier is of this nation.  Published are sums of ids that 4 doesn't divide."""
+    lines = [(o, 0, s, n, DAY) for o, s, n in [(0, 1, 1), (0, 1, 2), (0, 4, 1), (0, 4, 2), (1, 3, 1), (1, 3, 2), (1, 4, 1), (2, 4, 1), (2, 4, 2)] if published or (o, s) == (2, 4)]
+    return {
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate timestamp", [(0, 4, DAY), (1, 5, DAY), (2, None, DAY)]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp", lines),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey long, s_acctbal double", [(1, "a", 1, 0.0), (4, "b", nation, 0.0)] if published else []),
+    }
+
+
+def test_idempotent_insert(spark, tmp_path):
+    """Published keys aren't gathered in one place; null keys as in SQL."""
+    for case, (tables, n) in {"known": (graph(2), 2), "null": (graph(None), 0), "none": (graph(2, False), 1)}.items():
+        df, got, want = compare(spark, tmp_path / case, "y5_idempotent_insert", **tables)
+        assert got == want and len(got) == n
+        assert "LeftAnti" not in df._jdf.queryExecution().optimizedPlan().toString()
