@@ -49,3 +49,11 @@ def test_idempotent_insert(spark, tmp_path):
         df, got, want = compare(spark, tmp_path / case, "y5_idempotent_insert", **tables)
         assert got == want and len(got) == n
         assert "LeftAnti" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_addresses_of_one_normal_form(spark, tmp_path):
+    """Facts go to the page's own address, not to another with the same normal form; odd addresses, negative ids."""
+    urls = ["https://a.example/1", "https://a.example/1/", "https://www.a.example/1", "https://a.example/1", "http://b.example/?u=http://www.b.example", "http://b.example/http://www.x", "http://c.example/ ", "http://c.example", "", None]
+    rows = [(i, urls[i % 10], "") for i in [*range(1, 60), -1, -2, -4]]
+    _, got, want = compare(spark, tmp_path, "y6_facts_on_articles", pages=("page_id long, url string, html string", rows))
+    assert got == want and len(got) == 60
