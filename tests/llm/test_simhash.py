@@ -159,3 +159,24 @@ def test_flagged_never_misses(spark):
     assert len(rows) == 5001 and rows[0]._at == "x"
     assert all(r.may for r in rows if r.id is not None and r.id % 7 == 0) and sum(r.may for r in rows) < 800
     assert not any(r.may for r in flagged(df, "id", ids.limit(0), "i", "may").collect())
+
+
+def test_no_stage_has_a_branch_for_each_hash_function(spark):
+    """The driver holds the tasks and metrics of a stage: their number must not grow with the functions."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {k: spark.conf.get(k) for k in names}
+    sc = spark.sparkContext
+    sc.setJobGroup("tasks", "tasks of duplicates()")
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        base = sentence(1, 80)
+        rows = [(i, sentence(i, 80) if i > 5 else f"{base} {i}", "s") for i in range(20)]
+        assert {(r.doc_id, r.root) for r in duplicates(frame(spark, rows)).collect()} == {(i, 0) for i in range(1, 6)}
+        status = sc.statusTracker()
+        infos = [status.getStageInfo(s) for j in status.getJobIdsForGroup("tasks") for s in status.getJobInfo(j).stageIds]
+        assert max(i.numTasks for i in infos if i) <= 4 * 7
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc._jsc.clearJobGroup()
